@@ -19,12 +19,30 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkcohort.llm.line_dedup import line_duplicates
+
+    return line_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkcohort.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkcohort.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkcohort.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkcohort.llm.quality_rules import quality_verdicts
 
@@ -41,11 +59,16 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op2_substring": op2_substring,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_chat": op4_chat,
         "op5_packing": op5_packing,
+        "op7_personal_data": op7_personal_data,
         "op8_quality_rules": op8_quality_rules,
         "op10_suffix_lm": op10_suffix_lm,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from sparkcohort.llm import chat
+
+    return {"op4_chat": chat.ORACLE}
