@@ -37,6 +37,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkcohort.llm.cotraining import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkcohort.llm.pii import find_personal_data
 
@@ -49,6 +55,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkcohort.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkcohort.llm.suffix_lm import lm_scores
 
@@ -62,8 +74,10 @@ def queries() -> dict:
         "op3_line_dedup": op3_line_dedup,
         "op4_chat": op4_chat,
         "op5_packing": op5_packing,
+        "op6_cotraining": op6_cotraining,
         "op7_personal_data": op7_personal_data,
         "op8_quality_rules": op8_quality_rules,
+        "op9_decontamination": op9_decontamination,
         "op10_suffix_lm": op10_suffix_lm,
     }
 

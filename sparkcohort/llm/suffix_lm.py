@@ -36,7 +36,7 @@ FLUSH_WORDS, FLUSH_CODES = 300_000, 3_000_000
 
 def text_slices(batch: pa.RecordBatch, column: int, limit: int = 2_000_000):
     """Parts of a batch whose texts have about ``limit`` bytes, one row at least."""
-    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if total and total + size > limit:
