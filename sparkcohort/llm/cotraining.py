@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -26,6 +27,7 @@ from sparkcohort.llm.common import Workspace
 from sparkcohort.llm.suffix_lm import text_slices
 
 TEXT_BITS, META_BITS = 17, 12
+STEM = 5
 EDGE = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 LETTERS = bytes(range(65, 91))
 
@@ -38,11 +40,19 @@ SHARES = (0.001, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.8)
 
 
 def text_features(text: bytes) -> np.ndarray:
-    """Indices of a text's indicators: its different words, and binned shape measures."""
+    """Indices of a text's indicators: its different words, beginnings that several of them share, and binned shape measures.
+
+    A shared beginning marks a family of words (one stem, many endings) of which each word alone is rare.
+    """
     words = text.split()
     different = set(text.lower().split())
     digest, top = xxhash.xxh3_64_intdigest, (1 << TEXT_BITS) - 1
-    found = {digest(EDGE.sub(b"", w) or w) & top for w in different}
+    bare = {EDGE.sub(b"", w) or w for w in different}
+    found = {digest(w) & top for w in bare}
+    for stem, many in Counter(w.decode()[:STEM] for w in bare if len(w) > STEM).items():
+        for least in (2, 3):
+            if many >= least:
+                found.add(digest(f"\x00{least} of {stem}") & top)
     n, size = max(1, len(words)), max(1, len(text))
     lines = [x for x in text.split(b"\n") if x.strip()]
     plain = len(text.translate(None, b"#*$%&|<>!"))
@@ -53,6 +63,7 @@ def text_features(text: bytes) -> np.ndarray:
         "digits": _bin((size - len(text.translate(None, b"0123456789"))) / size, SHARES),
         "symbols": _bin((size - plain) / size, SHARES),
         "different": _bin(len(different) / n, SHARES),
+        "again": _bin(sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, SHARES),
         "lines": _bin(1 - len(set(lines)) / max(1, len(lines)), SHARES),
     }
     found |= {digest(f"\x00{k}={v}".encode()) & top for k, v in shape.items()}
@@ -93,22 +104,30 @@ class Rows:
         return np.bincount(self.row, weights=weights[self.index], minlength=len(self.sizes)) + weights[-1]
 
 
-def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, start=None, penalty: float = 0.5, steps: int = 80) -> np.ndarray:
-    """Weights (the last is the intercept) of a penalised logistic model, by Adam on the whole sample."""
-    w = np.zeros(size + 1) if start is None else start.copy()
-    m, v = np.zeros_like(w), np.zeros_like(w)
+def fit_logistic(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, penalty: float = 10.0, steps: int = 60) -> np.ndarray:
+    """Weights (the last is the intercept) of a penalised logistic model over indicators scaled by
+    their log-count ratio between the classes, by Adam on the whole sample.
+
+    The scale lets a rare but one-sided indicator weigh in fully and holds common ones near zero.
+    """
+    sides = []
+    for share in (y * weight, (1 - y) * weight):
+        sides.append(np.log((np.bincount(rows.index, weights=share[rows.row], minlength=size + 1) + 0.5) / (share.sum() + 1)))
+    scale = sides[0] - sides[1]
+    scale[-1] = 1.0
+    w, m, v = (np.zeros(size + 1) for _ in range(3))
     total = weight.sum()
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(rows.margins(w), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(rows.margins(w * scale), -30, 30)))
         error = (p - y) * weight
-        grad = np.bincount(rows.index, weights=error[rows.row], minlength=size + 1)
+        grad = np.bincount(rows.index, weights=error[rows.row], minlength=size + 1) * scale
         grad[-1] = error.sum()
         grad[:-1] += penalty * w[:-1]
         grad /= total
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        rate = 0.15 if step < steps * 0.7 else 0.04
+        rate = 0.05 if step < steps * 0.7 else 0.01
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w
+    return w * scale
 
 
 def _dense_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -124,6 +143,18 @@ def _dense_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int
     return w
 
 
+def _mixture(z: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Intercept and weights of both views; a view that would count against itself is left out."""
+    use = [0, 1]
+    while True:
+        w = _dense_logistic(np.stack([np.ones(len(y)), *(z[v] for v in use)], axis=1), y)
+        if len(use) < 2 or (w[1:] >= 0).all():
+            out = np.zeros(3)
+            out[[0, *(v + 1 for v in use)]] = w
+            return out
+        use.remove(use[int(np.argmin(w[1:]))])
+
+
 class CoTrained:
     """Weights of both views, their calibration lines, and the combination."""
 
@@ -161,7 +192,7 @@ def co_train(labels: np.ndarray, text: list[np.ndarray], meta: list[np.ndarray],
             at = np.concatenate([train, taught])
             y = np.concatenate([labels[train], np.array([extra[view][i] for i in taught.tolist()], dtype=float)])
             weight = np.concatenate([np.ones(len(train)), np.full(len(taught), 0.3)])
-            weights[view] = fit_logistic(take(view, at), y, weight, sizes[view], weights[view], steps=80 if r == 0 else 30)
+            weights[view] = fit_logistic(take(view, at), y, weight, sizes[view])
             z = take(view, held).margins(weights[view])
             lines[view] = _dense_logistic(np.stack([np.ones(cut), z], axis=1), labels[held].astype(float))
         if r == rounds or not len(pool):
@@ -172,7 +203,7 @@ def co_train(labels: np.ndarray, text: list[np.ndarray], meta: list[np.ndarray],
             for i in np.flatnonzero((p >= confidence) | (p <= 1 - confidence)).tolist():
                 extra[1 - view][int(pool[i])] = float(p[i] >= 0.5)
     z = [lines[v][0] + lines[v][1] * take(v, held).margins(weights[v]) for v in (0, 1)]
-    mix = _dense_logistic(np.stack([np.ones(cut), *z], axis=1), labels[held].astype(float))
+    mix = _mixture(z, labels[held].astype(float))
     return CoTrained(weights, lines, mix, float(labels[known].mean()))
 
 
@@ -219,7 +250,7 @@ def _score_batches(batches, model, names: list[str], keep_only: float | None):
             yield pa.RecordBatch.from_arrays(arrays, [*names, "p_text", "p_meta", "probability"])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """(doc_id, p_text, p_meta, probability, kept) for every row of ``docs``.
 
     ``docs`` needs lang, source and n_chars, which may be null; a null text is
@@ -233,7 +264,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, i
     return scored.withColumn("kept", F.col("probability") >= threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **bounds) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, text_col: str = "text", **bounds) -> DataFrame:
     """The rows of ``docs`` whose probability is at least ``threshold``, whole."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col, **bounds))
     taken = {c: F.col(c).alias(f"c_{c}") for c in docs.columns}
