@@ -20,6 +20,10 @@ SPACES = " \t\n\u000b\f\r"
 #: Words beyond which windows are ordered as (hash, place) structures instead of packed longs.
 PACKED_WORDS = 1 << 16
 PRIOR_GOOD = 0.8
+#: The end of a word in a letter or digit, with one mark of punctuation at most.
+PLAIN_END = r"[\p{L}\p{N}][.,;:!?)\"']?(?=[\x20\x09-\x0D]|\z)"
+#: Where estimation starts, (given good, given bad): passing a rule says little, failing one much.
+START = {1: (0.85, 0.6), -1: (0.02, 0.3), 0: (0.13, 0.1)}
 
 
 def _windows(words: Column, n: Column) -> tuple[Column, Column]:
@@ -36,7 +40,7 @@ def _windows(words: Column, n: Column) -> tuple[Column, Column]:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_caps, n_digits, n_alpha)."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_caps, n_digits, n_letters, n_plain_ends)."""
     text = F.coalesce(F.col("x"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("x"))
     rows = rows.select("doc_id", text.alias("x"), space_words(F.col("x")).alias("w"))
@@ -71,6 +75,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("ll").cast("long").alias("n_lines"),
         (F.length("x") - F.length(F.translate("x", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_caps"),
         (F.length("x") - F.length(F.translate("x", "0123456789", ""))).cast("long").alias("n_digits"),
+        F.length(F.regexp_replace("x", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
+        F.regexp_count("x", F.lit(PLAIN_END)).cast("long").alias("n_plain_ends"),
     )
 
 
@@ -84,14 +90,17 @@ def votes() -> dict[str, Column]:
 
     length, symbols = share("word_chars", "n_words"), share("n_symbols", "n_words")
     dup, repeat = share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")
+    letters, ends = share("n_letters", "word_chars"), share("n_plain_ends", "n_words")
     caps, digits = share("n_caps", "word_chars"), share("n_digits", "word_chars")
     return {
         "long_enough": vote(words, words >= 80, words < 50),
         "word_length": vote(length, length.between(3, 9), (length < 2.5) | (length > 12)),
         "few_symbols": vote(symbols, symbols <= 0.02, symbols > 0.1),
-        "lines_differ": vote(dup, dup <= 0.1, dup > 0.3),
+        "lines_differ": vote(dup, dup <= 0.1, dup > 0.5),
         "words_differ": vote(repeat, repeat <= 0.1, repeat > 0.3),
         "lower_case": vote(caps, caps <= 0.1, caps > 0.3),
+        "letters": vote(letters, letters >= 0.85, letters < 0.7),
+        "plain_ends": vote(ends, ends >= 0.8, ends < 0.6),
         "few_digits": vote(digits, digits <= 0.05, digits > 0.2),
     }
 
@@ -101,7 +110,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) ->
     the probabilities of each vote given good and given bad."""
     rules = len(patterns[0][0]) if patterns else 0
     good = PRIOR_GOOD
-    table = [{1: (0.7, 0.25), -1: (0.05, 0.5), 0: (0.25, 0.25)} for _ in range(rules)]
+    table = [dict(START) for _ in range(rules)]
     for _ in range(rounds):
         sums = [{v: [0.5, 0.5] for v in (-1, 0, 1)} for _ in range(rules)]
         total = [0.0, 0.0]
