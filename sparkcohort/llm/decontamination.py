@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -61,35 +61,60 @@ def run_size(n: int, k: int) -> int:
     return max(1, min(3, (n - k) // (k + 1)))
 
 
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """CGK: rows of word hashes (n x L) to rows of 3L words; past the end a filler is written."""
-    n, size = windows.shape
-    padded = np.concatenate([windows, np.zeros((n, 1), dtype=np.uint64)], axis=1)
-    at, rows = np.zeros(n, dtype=np.int64), np.arange(n)
-    out = np.empty((n, 3 * size), dtype=np.uint64)
-    bits = np.random.RandomState(walk).randint(0, 63, size=3 * size)
-    salt = np.random.RandomState(walk + 1000).randint(1, 2**31, size=3 * size).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    for j in range(3 * size):
-        symbol = padded[rows, at]
-        out[:, j] = symbol
-        move = (symbol * salt[j] >> np.uint64(int(bits[j]))) & np.uint64(1)
-        at = np.minimum(at + move.astype(np.int64), size)
+def _mixed(n: int, salt: int) -> np.ndarray:
+    """n fixed pseudo-random 64-bit numbers."""
+    x = (np.arange(n, dtype=np.uint64) + np.uint64(salt << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(maxsize=1024)
+def _places(size: int) -> np.ndarray:
+    """Sampled places of an embedding of a window of ``size`` words: walks x samples x places."""
+    return (_mixed(WALKS * SAMPLES * PLACES, 7) % np.uint64(2 * size)).astype(np.int64).reshape(WALKS, SAMPLES, PLACES)
+
+
+def embed(windows: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
+    """CGK: rows of word hashes, zero from ``sizes`` on, to the first 2 max(sizes) words of their walks (step x row).
+
+    A step writes the word under the pointer and then moves on or stays, by a
+    hash of step and word; past the end a filler is written.
+    """
+    n, width = windows.shape
+    steps = 2 * int(sizes.max())
+    salts, bits = _mixed(steps, 100 + walk) | np.uint64(1), _mixed(steps, 200 + walk) % np.uint64(64)
+    flat, base, at = windows.ravel(), np.arange(n) * width, np.zeros(n, dtype=np.int64)
+    out = np.empty((steps, n), dtype=np.uint64)
+    for j in range(steps):
+        symbol = flat.take(base + at)
+        out[j] = symbol
+        at += ((symbol * salts[j] >> bits[j]) & np.uint64(1)).astype(np.int64)
+        np.minimum(at, sizes, out=at)
     return out
 
 
-def signatures(windows: np.ndarray) -> np.ndarray:
+def signatures(windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """One key for each walk and sample: n x (WALKS * SAMPLES)."""
-    n, size = windows.shape
-    keys = np.empty((n, WALKS * SAMPLES), dtype=np.uint64)
+    n = len(windows)
+    kinds, which = np.unique(sizes, return_inverse=True)
+    places = np.stack([_places(int(k)) for k in kinds])[which]
+    rows = np.arange(n)[:, None, None]
+    keys = np.empty((n, WALKS, SAMPLES), dtype=np.uint64)
     for walk in range(WALKS):
-        out = embed(windows, walk)
-        places = np.random.RandomState(walk + 2000).randint(0, 2 * size, size=(SAMPLES, PLACES))
-        for s in range(SAMPLES):
-            key = np.zeros(n, dtype=np.uint64)
-            for place in places[s]:
-                key = (key ^ out[:, place]) * np.uint64(0x9E3779B97F4A7C15)
-            keys[:, walk * SAMPLES + s] = key
-    return keys
+        taken = embed(windows, sizes, walk)[places[:, walk], rows]
+        key = np.zeros((n, SAMPLES), dtype=np.uint64)
+        for i in range(PLACES):
+            key = (key ^ taken[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+        keys[:, walk] = key
+    return keys.reshape(n, -1)
+
+
+def padded(windows: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((len(windows), max(sizes) + 1), dtype=np.uint64)
+    for row, w in zip(out, windows, strict=True):
+        row[: len(w)] = w
+    return out, np.array(sizes, dtype=np.int64)
 
 
 def best_match(item: list, text: list) -> tuple[int, int]:
@@ -145,7 +170,7 @@ class Items:
             h = hashes_of(words)
             k = allowed(len(words), max_share)
             q = run_size(len(words), k)
-            self.items.append((item_id, words, k, signatures(h[None, :])[0]))
+            self.items.append((item_id, words, k, signatures(*padded([h], [len(h)]))[0]))
             table = self.grams.setdefault(q, defaultdict(list))
             for at, g in enumerate(_grams(h, q).tolist()):
                 table[g].append((len(self.items) - 1, at))
@@ -169,31 +194,24 @@ class Items:
 
     def matches(self, texts: list[str]):
         """For each text a list of (item_id, edits, start word, end word), the best passage of each item."""
-        words, windows = [], defaultdict(list)
+        words, found = [], []
         for i, text in enumerate(texts):
             w = words_of(text)
             words.append(w)
             h = hashes_of(w)
-            seeds = self.seeds(h)
-            if not seeds:
-                continue
-            for item, start in seeds:
+            for item, start in self.seeds(h):
+                # an item-sized window, moved to lie inside the text where it can
                 size = len(self.items[item][1])
-                # an item-sized window moved to lie inside the text where it can
                 lo = max(0, min(start, len(h) - size))
-                window = h[lo : lo + size]
-                if len(window) < size:
-                    window = np.concatenate([window, np.zeros(size - len(window), dtype=np.uint64)])
-                windows[size].append((i, item, lo, window))
+                found.append((i, item, lo, h[lo : lo + size]))
         pairs = defaultdict(set)
-        for _, found in windows.items():
-            for at in range(0, len(found), 4096):
-                part = found[at : at + 4096]
-                keys = signatures(np.stack([x[3] for x in part]))
-                mine = np.stack([self.items[x[1]][3] for x in part])
-                for j in np.flatnonzero((keys == mine).any(axis=1)).tolist():
-                    i, item, lo, _ = part[j]
-                    pairs[i, item].add(lo)
+        for at in range(0, len(found), 4096):
+            part = found[at : at + 4096]
+            keys = signatures(*padded([x[3] for x in part], [len(self.items[x[1]][1]) for x in part]))
+            mine = np.stack([self.items[x[1]][3] for x in part])
+            for j in np.flatnonzero((keys == mine).any(axis=1)).tolist():
+                i, item, lo, _ = part[j]
+                pairs[i, item].add(lo)
         out: list[list] = [[] for _ in texts]
         for (i, item), starts in sorted(pairs.items()):
             item_id, target, k, _ = self.items[item]
