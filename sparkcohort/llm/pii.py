@@ -33,8 +33,6 @@ TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
 REACH = 80
 MIN_CONTEXTS = 3
 REMOVE, GENERALISE = 0.8, 0.5
-#: Candidate terms up to which they are sent to every executor.
-BROADCAST_TERMS = 200_000
 SPAN = "struct<kind:string,s:int,e:int,v:string>"
 
 
@@ -131,12 +129,11 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, ws: Workspace) -> DataFra
     both = terms.join(support.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", "row").distinct()
     pairs = ws.save(both.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pairs")
     wanted = ws.save(pairs.select("term").distinct(), "wanted")
-    n_wanted = wanted.count()
-    if n_wanted == 0:
+    if not wanted.limit(1).count():
         return terms.select("row", F.lit("term").alias("kind"), "s", "e").limit(0)
     words = docs.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("x"), F.lit(TERM), F.lit(0)))).alias("term"))
-    known = words.join(F.broadcast(wanted) if n_wanted <= BROADCAST_TERMS else wanted, "term", "left_semi")
-    n_term = known.groupBy("term").agg(F.count("*").alias("n_term"))
+    # counted before the join: what meets the wanted terms is one row a word, however common
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     n_entity = terms.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_docs = F.lit(float(base.count()))
     scored = pairs.join(n_term, "term").join(n_entity, "entity")
