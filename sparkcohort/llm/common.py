@@ -62,6 +62,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized(saved: DataFrame, rows: int = 300_000) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``rows`` rows; beyond that a join shuffles it."""
+    return F.broadcast(saved) if saved.limit(rows + 1).count() <= rows else saved
+
+
 def text_bytes(name: str = "text") -> Column:
     """UTF-8 bytes of a text column, null as empty; Python gets them undecoded."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))

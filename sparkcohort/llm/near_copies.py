@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import Workspace, text_bytes, text_key
+from sparkcohort.llm.common import Workspace, sized, text_bytes, text_key
 from sparkcohort.llm.graph import connected_components
-from sparkcohort.llm.simhash import majority_bits, shingles
+from sparkcohort.llm.simhash import majority_bits, shared_variants, shingles
 
-SEGMENTS, WIDTH = 6, 32
+SEGMENTS = 6
 
 
 def _print_batches(batches):
@@ -74,17 +75,15 @@ def near_copy_groups(docs: DataFrame, ws: Workspace, size: int = 5, similarity:
     rows = docs.select(F.col(id_col).cast("long").alias("d"), text_key(id_col, text_col).alias("k"), text_bytes(text_col).alias("t"))
     prints = ws.save(rows.mapInArrow(_print_batches, "d long, k long, node long, fp array<long>"), "prints")
     nodes = prints.filter(F.size("fp") > 0).dropDuplicates(["node"])
-    full = (1 << WIDTH) - 1
-    keys = [F.get("fp", F.lit(s)).bitwiseAND(F.lit(full ^ (1 << i))) + F.lit((s * WIDTH + i) << WIDTH) for s in range(SEGMENTS) for i in range(WIDTH)]
-    variants = nodes.select("node", F.explode(F.array(*keys)).alias("key"))
-    ends = ws.save(variants.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high"), "ends")
-    stars = variants.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end")).filter("node != end")
+    segments = [F.get("fp", F.lit(s)) for s in range(SEGMENTS)]
+    here = W.partitionBy("place", "var")
+    met = shared_variants(nodes.select("node", "fp"), segments).withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)})
+    stars = met.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node != end")
     pairs = ws.save(stars.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "pairs")
-    ws.drop("ends")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.coalesce("d", F.lit(-1).cast("long")).alias("d"), "k")).alias("one"))
     first = ws.save(first.select(F.col("one.d").alias("d"), F.col("one.k").alias("k")), "wanted")
-    texts = rows.withColumn("d", F.coalesce("d", F.lit(-1).cast("long"))).join(first, ["d", "k"], "left_semi")
+    texts = rows.withColumn("d", F.coalesce("d", F.lit(-1).cast("long"))).join(sized(first), ["d", "k"], "left_semi")
     sets = ws.save(texts.select("t").mapInArrow(partial(_set_batches, size=size), "node long, s binary").dropDuplicates(["node"]), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
@@ -109,7 +108,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
     gone = named.join(ws.save(firsts, "firsts"), "root").filter(F.struct("d", "k") != F.col("one")).select("d", "k").distinct()
     gone = ws.save(gone.withColumnRenamed("d", "__d").withColumnRenamed("k", "__k"), "gone")
     rows = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), last)).withColumn("__k", text_key(id_col, text_col))
-    out = rows.join(gone, ["__d", "__k"], "left_anti")
+    out = rows.join(sized(gone), ["__d", "__k"], "left_anti")
     if named.groupBy("d", "k").count().filter("count > 1").limit(1).count():
         out = out.dropDuplicates(["__d", "__k"])
     return out.select(*docs.columns)

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import Workspace, text_bytes
+from sparkcohort.llm.common import Workspace, partitions, text_bytes
 from sparkcohort.llm.graph import connected_components
 
 SEGMENTS, SEGMENT_BITS = 2, 32
@@ -68,14 +69,24 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
     return rows.mapInArrow(partial(_fingerprint_batches, size=size, seed=seed), "doc_id long, fp long")
 
 
-def segment_variants(fp: Column) -> Column:
-    """Keys of all one-wildcard variants of both segments: segment, wildcard place, remaining bits."""
-    keys = []
-    for s in range(SEGMENTS):
-        part = F.shiftrightunsigned(fp, s * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
-        for i in range(SEGMENT_BITS):
-            keys.append(part.bitwiseAND(F.lit(((1 << SEGMENT_BITS) - 1) ^ (1 << i))) + F.lit((s * SEGMENT_BITS + i) << SEGMENT_BITS))
-    return F.array(*keys)
+def shared_variants(rows: DataFrame, segments: list[Column]) -> DataFrame:
+    """``rows`` once for each one-wildcard variant of a segment that other rows have too, with place, var and n rows.
+
+    A variant leaves one half of its segment whole.  So only that half is
+    shuffled by, with the other half as payload: two rows a segment travel, and
+    their variants are made and met where they arrive.
+    """
+    half, low = SEGMENT_BITS // 2, (1 << SEGMENT_BITS // 2) - 1
+    sides = []
+    for s, segment in enumerate(segments):
+        parts = (segment.bitwiseAND(F.lit(low)), F.shiftrightunsigned(segment, half).bitwiseAND(F.lit(low)))
+        for h in (0, 1):
+            sides.append(F.struct((F.lit((2 * s + h) << half) + parts[h]).cast("int").alias("place"), parts[1 - h].cast("int").alias("rest")))
+    placed = rows.select(*rows.columns, F.explode(F.array(*sides)).alias("x")).select(*rows.columns, "x.*")
+    placed = placed.repartition(partitions(rows.sparkSession), "place")
+    masked = F.array(*(F.col("rest").bitwiseAND(F.lit(low ^ (1 << i))) + F.lit(i << half) for i in range(half)))
+    variants = placed.select(*rows.columns, "place", F.explode(masked).alias("var"))
+    return variants.withColumn("n", F.count("*").over(W.partitionBy("place", "var"))).filter("n > 1")
 
 
 def fingerprint_links(prints: DataFrame, ws: Workspace, max_bits: int = 2) -> DataFrame:
@@ -83,10 +94,9 @@ def fingerprint_links(prints: DataFrame, ws: Workspace, max_bits: int = 2) -> Da
     are those of all pairs at ``max_bits`` (0, 1 or 2) or fewer differing bits."""
     if not 0 <= max_bits <= 2:
         raise ValueError("two segments with one wildcard each serve at most two differing bits here")
-    variants = prints.select("fp", F.explode(segment_variants(F.col("fp"))).alias("key"))
-    shared = ws.save(variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = ws.save(variants.join(shared, "key").select("key", "fp", "n"), "members")
-    few = members.filter(F.col("n") <= PAIR_LIMIT).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    segments = [F.shiftrightunsigned("fp", s * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)) for s in range(SEGMENTS)]
+    members = ws.save(shared_variants(prints.select("fp"), segments), "members")
+    few = members.filter(F.col("n") <= PAIR_LIMIT).groupBy("place", "var").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     pairs = few.select(F.explode("fps").alias("a"), "fps").select("a", F.explode(F.filter("fps", lambda x: (x > F.col("a")) & (F.bit_count(x.bitwiseXOR(F.col("a"))) <= max_bits))).alias("b"))
     crowded = members.filter(F.col("n") > PAIR_LIMIT).select("fp").distinct()
     if max_bits == 2:
@@ -122,7 +132,7 @@ def simhash_components(docs: DataFrame, size: int = 3, seed: int = 42, max_bits:
     prints = ws.save(fingerprints(docs, size, seed, id_col, text_col), "prints")
     per_print = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = ws.save(connected_components(fingerprint_links(per_print.select("fp"), ws, max_bits), ws), "roots")
-    ws.drop("buckets", "members")
+    ws.drop("members")
     grouped = per_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     names = ws.save(grouped.join(lows, "root").select("fp", "component_id"), "names")
