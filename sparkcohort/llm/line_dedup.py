@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import Workspace, space_words, text_key
+from sparkcohort.llm.common import Workspace, sized, space_words, text_key
 
 MIN_WORDS, EDIT_WORDS = 5, 10
 LAST = (1 << 63) - 1
@@ -87,18 +87,17 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text
     mine = mine.agg(F.max(F.col("head").cast("int")).alias("head"), F.max((~F.col("head")).cast("int")).alias("tail"))
     by_doc = mine.groupBy("d", "k").agg(F.collect_set(F.struct("p", "h1", "h2", (F.col("head") > 0).alias("head"), (F.col("tail") > 0).alias("tail"))).alias("look"))
     by_doc = ws.save(by_doc, "look")
-    texts = rows.join(by_doc, ["d", "k"]).select("d", "k", F.split("x", "\n", -1).alias("l"), "look").dropDuplicates(["d", "k"])
+    texts = rows.join(sized(by_doc, 100_000), ["d", "k"]).select("d", "k", F.split("x", "\n", -1).alias("l"), "look")
     found = texts.select("d", "k", F.explode(F.transform("look", lambda y: F.struct(y.p.alias("p"), y.h1.alias("h1"), y.h2.alias("h2"), y.head.alias("head"), y.tail.alias("tail"), F.get("l", y.p).alias("line")))).alias("y"))
     found = found.select("d", "k", "y.*").withColumn("w", space_words(F.col("line"))).withColumn("n", F.size("w")).drop("line")
     variants = ws.save(_variants(found), "variants")
     key = ["place", "length", "v1", "v2"]
-    groups = variants.groupBy(*key).agg(
-        F.min("own").alias("low"), F.max("own").alias("high"),
-        F.min(F.when(F.col("is_line"), F.col("own"))).alias("line"), F.min(F.when(~F.col("is_line"), F.col("own"))).alias("cut"),
-    ).filter("low != high")
-    met = variants.join(groups, key)
+    shared = ws.save(variants.groupBy(*key).agg(F.count("*").alias("m")).filter("m > 1").select(*key), "shared")
+    variants = ws.save(variants.join(sized(shared), key), "met")
+    groups = variants.groupBy(*key).agg(F.min(F.when(F.col("is_line"), F.col("own"))).alias("line"), F.min(F.when(~F.col("is_line"), F.col("own"))).alias("cut"))
+    met = variants.join(ws.save(groups, "groups"), key)
     # replacements: the key's earliest line; insertions: a line looks at variants, a variant at the line
-    earlier = F.when(F.col("place") >= 0, F.col("low")).when(F.col("is_line"), F.col("cut")).otherwise(F.col("line"))
+    earlier = F.when((F.col("place") >= 0) | F.col("is_line"), F.col("cut")).otherwise(F.col("line"))
     near = met.select("own", earlier.alias("keep")).filter("keep < own").groupBy("own").agg(F.min("keep").alias("keep"))
     near = near.select(F.col("own.d").alias("d"), F.col("own.k").alias("k"), F.col("own.p").alias("p"), F.col("keep.d").alias("kd"), F.col("keep.p").alias("kp"), F.lit(1).alias("edits"))
     first = kinds.select("h1", "h2", F.col("d").alias("kd"), F.col("k").alias("kk"), F.col("p").alias("kp"))
@@ -130,7 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = duplicate_lines(docs, ws, id_col, text_col).groupBy("d", "k").agg(F.collect_set("p").alias("__gone"))
     gone = ws.save(gone, "gone").withColumnRenamed("d", "__d").withColumnRenamed("k", "__k")
     rows = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("__k", text_key(id_col, text_col))
-    out = rows.join(gone, ["__d", "__k"], "left")
+    out = rows.join(sized(gone, 300_000), ["__d", "__k"], "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
     empty = F.col("__gone").isNotNull() & ~F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
