@@ -184,9 +184,13 @@ def test_lines(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
-def test_lines_random_edits(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lines_random_edits(spark, monkeypatch, broadcast):
+    from sparkcohort.llm import line_dedup
     from sparkcohort.llm.line_dedup import line_duplicates
 
+    if not broadcast:
+        monkeypatch.setattr(line_dedup, "sized", lambda df, rows=0: df.hint("merge"))
     r = random.Random(9)
     rows = []
     for i in range(60):
@@ -540,7 +544,8 @@ def test_lm_distributions_add_up(spark):
 # pipeline --------------------------------------------------------------------------------------------------------
 
 
-def test_near_copies(spark, docs, empty):
+def test_near_copies(spark, docs, empty, monkeypatch):
+    from sparkcohort.llm import near_copies
     from sparkcohort.llm.near_copies import keep_one
 
     r, rows = random.Random(8), []
@@ -555,6 +560,8 @@ def test_near_copies(spark, docs, empty):
     got = {x.doc_id for x in keep_one(df).collect()}
     want = set(brute.jaccard_groups(rows))
     assert got >= want and len(got - want) <= 0.05 * len(rows)
+    monkeypatch.setattr(near_copies, "sized", lambda df, rows=0: df.hint("merge"))
+    assert {x.doc_id for x in keep_one(df).collect()} == got
     assert keep_one(df).columns == df.columns
     assert keep_one(empty).count() == 0
     twice = spark.createDataFrame([(1, "same text here"), (1, "same text here"), (None, "same text here")], "doc_id bigint, text string")
