@@ -46,7 +46,7 @@ def _lines(rows: DataFrame) -> DataFrame:
     return each.select("d", "k", "p", h1.alias("h1"), h2.alias("h2"), "n", *(F.when(long_enough, c).alias(f"k{i}") for i, c in enumerate(keys, 1)))
 
 
-ORDER = F.struct("d", "k", "p")
+ORDER = ("d", "k", "p")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text
     """
     rows = _sources(docs, id_col, text_col)
     lines = ws.save(_lines(rows), "lines")
-    kinds = lines.groupBy("h1", "h2").agg(F.min(ORDER).alias("first"), *(F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")))
+    kinds = lines.groupBy("h1", "h2").agg(F.min(F.struct(*ORDER)).alias("first"), *(F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")))
     kinds = ws.save(kinds.select("h1", "h2", "first.*", "n", "k1", "k2", "k3", "k4"), "kinds")
     halves = kinds.filter(F.col("n") >= EDIT_WORDS).select("h1", "h2", "d", "k", "p", "n", F.explode(F.array(
         F.struct(F.col("k1").alias("key"), F.lit(True).alias("head")), F.struct(F.col("k2").alias("key"), F.lit(True).alias("head")),
