@@ -568,6 +568,22 @@ def test_near_copies(spark, docs, empty, monkeypatch):
     assert [x.doc_id for x in keep_one(twice).collect()] == [1]
 
 
+@pytest.mark.parametrize("copies", [100, 1000])
+def test_variants_of_one_original(spark, copies):
+    from sparkcohort.llm.near_copies import keep_one
+
+    # every copy is at 0.8 or more to the original, and copies are below that to one another
+    r, base = random.Random(copies), [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for j in range(copies):
+        w = base[:]
+        for i in r.sample(range(6, 294, 6), 5):
+            w[i] = f"new{j}x{i}"
+        rows.append((j + 1, " ".join(w)))
+    assert set(brute.jaccard_groups(rows[:101])) == {0}
+    assert [x.doc_id for x in keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [0]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
