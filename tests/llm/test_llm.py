@@ -584,6 +584,20 @@ def test_variants_of_one_original(spark, copies):
     assert [x.doc_id for x in keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()] == [0]
 
 
+def test_near_copies_at_the_bound(spark):
+    from sparkcohort.llm.near_copies import keep_one
+
+    # appended and truncated texts at a similarity of exactly 0.8, and one shingle below it
+    rows = []
+    for i in range(60):
+        w = [f"t{i}x{j}" for j in range(104)]
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w + [f"n{i}x{j}" for j in range(25)]))]
+        rows += [(10 * i + 5, " ".join(f"u{i}x{j}" for j in range(104))), (10 * i + 6, " ".join(f"u{i}x{j}" for j in range(84)))]
+        rows += [(10 * i + 7, " ".join(f"v{i}x{j}" for j in range(104))), (10 * i + 8, " ".join(f"v{i}x{j}" for j in range(83)))]
+    got = {x.doc_id for x in keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == set(brute.jaccard_groups(rows)) == {10 * i + k for i in range(60) for k in (0, 5, 7, 8)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
