@@ -1,8 +1,9 @@
 """Line deduplication with a deletion-neighbourhood join, in DataFrame expressions.
 
-Lines are sequences of words.  Lines of ``MIN_WORDS`` words and more are compared;
-lines of ``EDIT_WORDS`` and more match at up to one word edit (a word put in,
-taken out or replaced), shorter ones only exactly.
+Lines are sequences of words.  Every line with a word is compared; lines of
+``EDIT_WORDS`` words and more match at up to one word edit (a word put in, taken
+out or replaced), shorter ones only exactly.  Callers may protect short lines: that
+only leaves them out of what is returned.
 
 Variants with one word deleted are hashed keys.  Two lines that are equal
 without the word at the same place differ by a replacement; a line that equals
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import Workspace, sized, space_words, text_key
+from sparkcohort.llm.common import SPACE_CLASS, Workspace, sized, text_key
 
 MIN_WORDS, EDIT_WORDS = 5, 10
 LAST = (1 << 63) - 1
@@ -29,6 +30,11 @@ def _hash2(*parts: Column) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit(99), *parts)
 
 
+def _words(line: Column) -> Column:
+    """The words of a line; the built-in removal is compiled, a filter with a lambda is not."""
+    return F.array_remove(F.split(line, SPACE_CLASS, -1), "")
+
+
 def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(d, k, x): order and key of a document; null ids come last."""
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
@@ -38,7 +44,7 @@ def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _lines(rows: DataFrame) -> DataFrame:
     """(d, k, p, h1, h2, n, k1..k4) of every compared line: hash, words, and the hashes of its halves."""
     each = rows.select("d", "k", F.posexplode(F.split("x", "\n", -1)).alias("p", "line"))
-    each = each.select("d", "k", "p", space_words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= MIN_WORDS)
+    each = each.select("d", "k", "p", _words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
     h1, h2 = _hash2(F.col("w"))
     half, other = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
     keys = [F.xxhash64(F.lit(0), m, F.slice("w", 1, m)) for m in (half, other)] + [F.xxhash64(F.lit(1), m, F.slice("w", F.col("n") - m + 1, m)) for m in (half, other)]
@@ -66,13 +72,16 @@ def _variants(lines: DataFrame) -> DataFrame:
     return places.union(whole)
 
 
-def duplicate_lines(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", protect: int = MIN_WORDS) -> DataFrame:
     """(d, k, p, kd, kp, edits): every line that goes, and the earlier line that stands for it.
 
     A line goes if an earlier line (by doc_id, then place) is equal (edits 0), or
     if it is the first of its kind and an earlier line is one edit away (edits 1;
-    the earliest such line is named, whether or not it goes itself).
+    the earliest such line is named, whether or not it goes itself).  Lines under
+    ``protect`` words stay.
     """
+    if protect > EDIT_WORDS:
+        raise ValueError(f"only lines under {EDIT_WORDS} words can be protected")
     rows = _sources(docs, id_col, text_col)
     lines = ws.save(_lines(rows), "lines")
     kinds = lines.groupBy("h1", "h2").agg(F.min(F.struct(*ORDER)).alias("first"), *(F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")))
@@ -89,7 +98,7 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text
     by_doc = ws.save(by_doc, "look")
     texts = rows.join(sized(by_doc, 100_000), ["d", "k"]).select("d", "k", F.split("x", "\n", -1).alias("l"), "look")
     found = texts.select("d", "k", F.explode(F.transform("look", lambda y: F.struct(y.p.alias("p"), y.h1.alias("h1"), y.h2.alias("h2"), y.head.alias("head"), y.tail.alias("tail"), F.get("l", y.p).alias("line")))).alias("y"))
-    found = found.select("d", "k", "y.*").withColumn("w", space_words(F.col("line"))).withColumn("n", F.size("w")).drop("line")
+    found = found.select("d", "k", "y.*").withColumn("w", _words(F.col("line"))).withColumn("n", F.size("w")).drop("line")
     variants = ws.save(_variants(found), "variants")
     key = ["place", "length", "v1", "v2"]
     shared = ws.save(variants.groupBy(*key).agg(F.count("*").alias("m")).filter("m > 1").select(*key), "shared")
@@ -101,32 +110,32 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text
     near = met.select("own", earlier.alias("keep")).filter("keep < own").groupBy("own").agg(F.min("keep").alias("keep"))
     near = near.select(F.col("own.d").alias("d"), F.col("own.k").alias("k"), F.col("own.p").alias("p"), F.col("keep.d").alias("kd"), F.col("keep.p").alias("kp"), F.lit(1).alias("edits"))
     first = kinds.select("h1", "h2", F.col("d").alias("kd"), F.col("k").alias("kk"), F.col("p").alias("kp"))
-    copies = lines.join(first, ["h1", "h2"]).filter(F.struct("d", "k", "p") != F.struct("kd", "kk", "kp"))
+    copies = lines.join(first, ["h1", "h2"]).filter(F.struct("d", "k", "p") != F.struct("kd", "kk", "kp")).filter(F.col("n") >= protect)
     return copies.select("d", "k", "p", "kd", "kp", F.lit(0).alias("edits")).unionByName(near)
 
 
-def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", protect: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line, keep_doc_id, keep_line, edits): the lines that go, counted from 0 within a text split at \\n.
 
     Texts without a line break are one line; null texts have none; lines of fewer
-    than ``MIN_WORDS`` words are never compared.  Null doc_ids come last in order
+    than ``protect`` words stay (0: none is protected).  Null doc_ids come last in order
     and stay null in the result.  Rows that agree in doc_id and text are one
     document: neither is earlier.  Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "line_dedup")
-    found = duplicate_lines(docs, ws, id_col, text_col).select("d", "k", "p", "kd", "kp", "edits").distinct()
+    found = duplicate_lines(docs, ws, id_col, text_col, protect).select("d", "k", "p", "kd", "kp", "edits").distinct()
     back = lambda c: F.when(F.col(c) < LAST, F.col(c))
     return found.select(back("d").alias("doc_id"), F.col("p").cast("long").alias("line"), back("kd").alias("keep_doc_id"), F.col("kp").cast("long").alias("keep_line"), "edits")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", protect: int = MIN_WORDS) -> DataFrame:
     """``docs`` with duplicate lines taken out of the text.
 
-    A document all of whose compared lines went and that has no other word left
+    A document all of whose unprotected lines went and that has no other word left
     is a copy and goes; other documents, empty ones included, stay.
     """
     ws = Workspace(docs.sparkSession, "line_dedup")
-    gone = duplicate_lines(docs, ws, id_col, text_col).groupBy("d", "k").agg(F.collect_set("p").alias("__gone"))
+    gone = duplicate_lines(docs, ws, id_col, text_col, protect).groupBy("d", "k").agg(F.collect_set("p").alias("__gone"))
     gone = ws.save(gone, "gone").withColumnRenamed("d", "__d").withColumnRenamed("k", "__k")
     rows = docs.withColumn("__d", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("__k", text_key(id_col, text_col))
     out = rows.join(sized(gone, 300_000), ["__d", "__k"], "left")

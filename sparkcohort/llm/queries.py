@@ -22,7 +22,7 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkcohort.llm.line_dedup import line_duplicates
 
-    return line_duplicates(table(spark, sf_dir, "documents"))
+    return line_duplicates(table(spark, sf_dir, "documents"), protect=0)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

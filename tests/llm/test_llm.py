@@ -203,6 +203,19 @@ def test_lines_random_edits(spark, monkeypatch, broadcast):
     same([tuple(x) for x in got.collect()], brute.lines(rows))
 
 
+def test_short_lines_are_compared(spark, tmp_path):
+    import corpus_pipeline as cp
+    from sparkcohort.llm.queries import op3_line_dedup
+
+    rows = [(1, "All rights reserved.\none\n\n" + text(12, 1)), (2, text(12, 2) + "\nAll  rights reserved.\n\none"), (3, "all rights reserved.\none"), (4, "All rights reserved.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(2, 1, 1, 0, 0), (2, 3, 1, 1, 0), (3, 1, 1, 1, 0), (4, 0, 1, 0, 0)}
+    kept = cp.lines(spark, df.withColumn("n_chars", F.lit(None).cast("bigint")), str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in kept} == {1: rows[0][1], 2: text(12, 2) + "\n", 3: "all rights reserved."}
+
+
 def test_lines_are_native(spark):
     from sparkcohort.llm.line_dedup import line_duplicates
 
