@@ -1,12 +1,12 @@
 """Personal data: base patterns, and terms that disclose a protected entity.
 
 Base spans come from four patterns.  Every matched value is a protected entity.
-Terms within ``REACH`` characters of a span are its context; the corpus gives
-the pointwise mutual information of entity and term over documents, and a term's
+The whole document around an entity is its context; the corpus gives the
+pointwise mutual information of entity and term over documents, and a term's
 disclosure is that over the entity's own information content (1: the term gives
 the entity away entirely).  Terms above the higher threshold are removed, those
-above the lower one generalised.  A pair counts only with enough *different*
-contexts, so copies of one text are not evidence.
+above the lower one generalised, wherever they occur.  A pair counts only with
+enough *different* texts, so copies of one text are not evidence.
 
 Everything is a DataFrame expression.  The patterns are written with possessive
 repeats and ``\\G`` so that Java's matcher neither recurses nor rescans a run; they
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import Workspace
+from sparkcohort.llm.common import Workspace, sized
 
 MAIL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -30,7 +30,6 @@ PATTERNS = {
 #: A text without this has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
-REACH = 80
 MIN_CONTEXTS = 3
 REMOVE, GENERALISE = 0.8, 0.5
 SPAN = "struct<kind:string,s:int,e:int,v:string>"
@@ -93,55 +92,55 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda y: F.concat_ws(":", y.kind, y.s, y.e)), ",")
 
 
-def _contexts(spans: Column, x: Column) -> Column:
-    """Texts on either side of each span, and where they start."""
-    return F.transform(
-        spans,
-        lambda y: F.struct(
-            F.xxhash64(y.kind, y.v).alias("entity"),
-            F.greatest(y.s - REACH, F.lit(0)).alias("at"),
-            F.substring(x, F.greatest(y.s - REACH, F.lit(0)) + 1, F.least(y.s, F.lit(REACH))).alias("left"),
-            y.e.alias("end"),
-            F.substring(x, y.e + 1, F.lit(REACH)).alias("right"),
-            (F.length(x) > y.e + REACH).alias("more"),
-        ),
-    )
+def _words(x: Column) -> Column:
+    """The different terms of a text outside its addresses, in lower case."""
+    outside = F.when(x.contains("@"), F.regexp_replace(x, PATTERNS["email"], " ")).otherwise(x)
+    return F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)), F.lower))
+
 
+def _occurrences(x: Column, spans: Column, kinds: Column) -> Column:
+    """(kind, s, e) of every occurrence of the terms of the map ``kinds`` that touches no span, in one pass over the text."""
+    found, between = F.regexp_extract_all(x, F.lit(TERM), F.lit(0)), F.split(x, TERM, -1)
+    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), F.element_at(kinds, F.lower(m)).alias("kind")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,s:int,e:int>>").alias("out"))
+
+    def step(a: Column, y: Column) -> Column:
+        s, e = a.at + y.g, a.at + y.g + y.m
+        more = F.concat(a.out, F.array(F.struct(y.kind.alias("kind"), s.alias("s"), e.alias("e"))))
+        return F.struct(e.alias("at"), F.when(y.kind.isNull(), a.out).otherwise(more).alias("out"))
 
-def _terms(contexts: DataFrame) -> DataFrame:
-    """(row, entity, context, term, s, e) of every whole term in a context."""
-    sides = contexts.select("row", "entity", F.xxhash64("left", "right").alias("context"), F.explode(F.array(
-        F.struct(F.col("left").alias("x"), F.col("at").alias("at"), (F.col("at") > 0).alias("cut_first"), F.lit(False).alias("cut_last")),
-        F.struct(F.col("right").alias("x"), F.col("end").alias("at"), F.lit(False).alias("cut_first"), F.col("more").alias("cut_last")),
-    )).alias("side")).select("row", "entity", "context", "side.*")
-    sides = sides.withColumn("m", F.regexp_extract_all("x", F.lit(TERM), F.lit(0))).withColumn("g", F.split("x", TERM, -1))
-    sides = sides.withColumn("p", _starts(F.col("m"), F.col("g")))
-    each = sides.select("row", "entity", "context", "x", "at", "cut_first", "cut_last", F.explode(F.arrays_zip("m", "p")).alias("t"))
-    start, end = F.col("t.p"), F.col("t.p") + F.length("t.m")
-    whole = ~(F.col("cut_first") & (start == 0)) & ~(F.col("cut_last") & (end == F.length("x")))
-    return each.filter(whole).select("row", "entity", "context", F.lower("t.m").alias("term"), (F.col("at") + start).alias("s"), (F.col("at") + end).alias("e"))
+    every = F.aggregate(steps, start, step, lambda a: a.out)
+    return F.filter(every, lambda o: ~F.exists(spans, lambda y: (o.s < y.e) & (o.e > y.s)))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, ws: Workspace) -> DataFrame:
     """(row, kind, s, e): spans of terms to remove ("term") or to generalise ("class")."""
-    terms = ws.save(_terms(base.select("row", F.explode("contexts").alias("c")).select("row", "c.*")), "terms")
-    support = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_CONTEXTS)
-    both = terms.join(support.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", "row").distinct()
-    pairs = ws.save(both.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pairs")
+    held = base.filter(F.size("spans") > 0).select("row", "copy", F.explode(F.array_distinct(F.transform("spans", lambda y: F.xxhash64(y.kind, y.v)))).alias("entity"))
+    by_text = held.groupBy("entity", "copy").agg(F.count("*").alias("n"))
+    # a pair has no more different texts than its entity
+    entities = by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n")).filter(F.col("n") >= MIN_CONTEXTS)
+    entities = ws.save(entities.select("entity", "n_entity"), "entities")
+    by_row = ws.save(held.join(sized(entities.select("entity")), "entity", "left_semi").groupBy("row", "copy").agg(F.collect_set("entity").alias("entities")), "held")
+    each = docs.join(sized(by_row), "row").select("copy", "entities", F.explode(_words(F.col("x"))).alias("term"))
+    both = each.select("copy", "term", F.explode("entities").alias("entity")).groupBy("entity", "term", "copy").agg(F.count("*").alias("n"))
+    both = both.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n")).filter(F.col("n") >= MIN_CONTEXTS)
+    pairs = ws.save(both.select("entity", "term", "n_both"), "pairs")
     wanted = ws.save(pairs.select("term").distinct(), "wanted")
     if not wanted.limit(1).count():
-        return terms.select("row", F.lit("term").alias("kind"), "s", "e").limit(0)
-    words = docs.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("x"), F.lit(TERM), F.lit(0)))).alias("term"))
+        return docs.select("row", F.lit("term").alias("kind"), F.lit(0).alias("s"), F.lit(0).alias("e")).limit(0)
+    words = docs.select("row", F.explode(_words(F.col("x"))).alias("term"))
     # counted before the join: what meets the wanted terms is one row a word, however common
     n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
-    n_entity = terms.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_docs = F.lit(float(base.count()))
-    scored = pairs.join(n_term, "term").join(n_entity, "entity")
+    scored = pairs.join(n_term, "term").join(entities, "entity")
     shared = F.log(n_docs * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     own = F.log(n_docs / F.col("n_entity"))
     scored = scored.withColumn("disclosure", F.when(own > 0, shared / own).otherwise(0.0)).filter(F.col("disclosure") >= GENERALISE)
-    kinds = ws.save(scored.select("entity", "term", F.when(F.col("disclosure") >= REMOVE, "term").otherwise("class").alias("kind")), "kinds")
-    return terms.join(kinds, ["entity", "term"]).groupBy("row", "s", "e").agg(F.max("kind").alias("kind")).select("row", "kind", "s", "e")
+    kinds = ws.save(scored.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= REMOVE, "term").otherwise("class")).alias("kind")), "kinds")
+    marks = words.join(sized(kinds), "term").groupBy("row").agg(F.collect_set(F.struct("term", "kind")).alias("terms"))
+    marks = ws.save(marks.join(base.select("row", "spans"), "row"), "marks")
+    found = docs.join(sized(marks), "row").select("row", F.explode(_occurrences(F.col("x"), F.col("spans"), F.map_from_entries("terms"))).alias("o"))
+    return found.select("row", "o.kind", "o.s", "o.e")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -155,7 +154,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ws = Workspace(docs.sparkSession, "pii")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
     base = base_spans(rows)
-    base = base.withColumn("contexts", _contexts(F.col("spans"), F.col("x"))).drop(*([] if keep_text else ["x"]))
+    base = base.withColumn("copy", F.xxhash64("x")).drop(*([] if keep_text else ["x"]))
     base = ws.save(base, "base")
     extra = disclosing_terms(rows, base, ws).groupBy("row").agg(F.collect_list(F.struct("kind", "s", "e")).alias("extra"))
     order = F.array_sort(F.transform(F.col("extra"), lambda y: F.struct(F.when(y.kind == "term", 0).otherwise(1).alias("o"), y.s.alias("s"), y.e.alias("e"), y.kind.alias("kind"))))

@@ -402,6 +402,23 @@ def test_disclosing_terms(spark):
     assert clean[50] == rows[5][1].replace("info@firm0.com", "[EMAIL]")
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    from sparkcohort.llm.pii import find_personal_data, sanitise
+
+    # the name is far from the address, twice in a text, and once in a text without the address
+    rows = [(i, f"Marlowe {text(30, i)} Marlowe {text(30, 60 + i)} mail phil@agency.com") for i in range(5)]
+    rows += [(50 + i, f"{text(60, 200 + i)} mail info@firm{i}.com") for i in range(30)]
+    rows += [(95, f"{text(60, 400)} MARLOWE said")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in find_personal_data(df).collect()}
+    for d, t in rows[:5] + rows[-1:]:
+        places = [i for i in range(len(t)) if t[i : i + 7].lower() == "marlowe"]
+        assert got[d].n_terms == len(places) and all(f":{i}:{i + 7}" in got[d].spans for i in places)
+    assert all(got[50 + i].n_terms == 0 for i in range(30))
+    clean = {r.doc_id: r.text for r in sanitise(df).collect()}
+    assert not any("marlowe" in clean[d].lower() for d in (0, 1, 2, 3, 4, 95))
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
