@@ -11,6 +11,8 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,19 @@ def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def text_slices(batch: pa.RecordBatch, column: int, limit: int = 2_000_000):
+    """Parts of a batch whose texts have about ``limit`` bytes, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > limit:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def space_words(text: Column) -> Column:
     """The words of a text as an array, empty for null."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS, -1)

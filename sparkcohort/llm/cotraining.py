@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcohort.llm.common import Workspace
-from sparkcohort.llm.suffix_lm import text_slices
+from sparkcohort.llm.common import Workspace, text_slices
 
 TEXT_BITS, META_BITS = 17, 12
 STEM = 5

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcohort.llm.suffix_lm import text_slices
+from sparkcohort.llm.common import text_slices
+
 
 WORD = re.compile(r"\w+")
 WALKS, SAMPLES, PLACES = 12, 10, 3

@@ -11,6 +11,7 @@ independently; a document's group is a hash of its row, so groups stay at about
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import lru_cache, partial
 
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import Workspace, text_bytes
+from sparkcohort.llm.common import Workspace, text_bytes, text_slices
 
 GROUP_DOCS = 4096
 END_ID = 0
 #: The same splits as the published pattern of the vocabulary, in a form that needs less backtracking.
 SPLITS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
+#: A run of blanks as long as this makes the faster library backtrack too deep; such texts take the other one.
+LONG_BLANK = re.compile(r"\s{10000}")
 
 
 @lru_cache(maxsize=4)
@@ -34,7 +37,8 @@ def _encoder(name: str):
     """Text to ids as ``tokenizers`` gives them for this file.
 
     The byte-level BPE with ranks in a second file gives the same ids several times
-    faster; texts that spell out a special token take the reference library.
+    faster; texts that spell out a special token, or have a very long run of blanks,
+    take ``tokenizers`` itself.
     """
     import public_tokenizers
     import tiktoken
@@ -47,7 +51,7 @@ def _encoder(name: str):
     fast = tiktoken.Encoding("packing", pat_str=SPLITS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if SPECIAL in text:
+        if SPECIAL in text or LONG_BLANK.search(text):
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -67,11 +71,10 @@ def cut(n: int, size: int) -> list[int]:
 def _token_batches(batches, tokenizer: str, size: int):
     encode = _encoder(tokenizer)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in text_slices(batch, 1):
             counts, sums = [], []
             for text in part.column(1).to_pylist():
-                ids = np.array([*encode(text.decode()), END_ID], dtype="<u4")
+                ids = np.array([*encode(text.decode(errors="replace")), END_ID], dtype="<u4")
                 raw, crcs, start = ids.tobytes(), [], 0
                 for n in cut(len(ids), size):
                     crcs.append(zlib.crc32(raw[4 * start : 4 * (start + n)]))
@@ -136,7 +139,8 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer: str = "byte_bpe_50k.json"
     A document is its ids and then ``END_ID``; a null or empty text is that one
     id.  Every id lies in one piece; pieces of a sequence fill it from offset 0
     without gaps, to at most ``size`` ids.  Rows with null or repeated doc_ids
-    are documents of their own.  Documents longer than a sequence are cut.
+    are documents of their own.  Documents longer than a sequence are cut; bytes
+    that are not UTF-8 become replacement characters.
     ``tokenizer`` names a file of ``public_tokenizers``.  Other columns are ignored.
     """
     spark = docs.sparkSession

@@ -22,31 +22,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import Workspace, text_bytes
+from sparkcohort.llm.common import Workspace, text_bytes, text_slices
 
 END = b""
 SHIFT = 20
 FLUSH_WORDS, FLUSH_CODES = 300_000, 3_000_000
 
 
-def text_slices(batch: pa.RecordBatch, column: int, limit: int = 2_000_000):
-    """Parts of a batch whose texts have about ``limit`` bytes, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    start, total = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if total and total + size > limit:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += size
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all symbols of some texts, and the number of symbols of each text."""
     digest, out, sizes = xxhash.xxh3_64_intdigest, [], []

@@ -291,6 +291,20 @@ def test_packing(spark, docs, empty):
     assert pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "\u00a0", "a", "7", "#", "\u00e9 ", "x\u3000"])
+def test_long_runs_are_encoded(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sparkcohort.llm.packing import _encoder
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for n in (9_000, 300_000):
+        t = run * n + " end\n" + run * 3 + "x"
+        assert _encoder("byte_bpe_50k.json")(t) == slow.encode(t, add_special_tokens=False).ids
+    assert len(_encoder("byte_bpe_50k.json")(run * (2_000_000 // len(run)))) > 1000
+
+
 def test_first_fit_is_first_fit():
     from sparkcohort.llm.packing import first_fit
 
