@@ -101,3 +101,24 @@ def space_words(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def carried(values: Column, combine=lambda a, v: a + v, block: int = 256) -> Column:
+    """What ``combine`` makes of all earlier elements, from 0 on, for each element of an array of ints, and at the end of all.
+
+    ``combine`` must be associative, with 0 as its neutral element.  Results are
+    carried within blocks and then over blocks, so that the time is about ``block``
+    short copies an element and not as many as there are elements.  ``values`` must
+    be a column, not an expression: it is used several times.
+    """
+    run = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(combine(F.element_at(a, -1), v))))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")))
+    parts = F.transform(starts, lambda i: run(F.slice(values, i * block + 1, block)))
+
+    def append(a: Column, part: Column) -> Column:
+        last = combine(F.element_at(a.ends, -1), F.element_at(part, -1))
+        return F.struct(F.concat(a.ends, F.array(last)).alias("ends"), F.concat(a.parts, F.array(part)).alias("parts"))
+
+    none = F.struct(F.array(F.lit(0)).alias("ends"), F.array().cast("array<array<int>>").alias("parts"))
+    whole = lambda a: F.transform(a.parts, lambda part, i: F.transform(F.slice(part, 1, F.size(part) - 1), lambda v: combine(F.get(a.ends, i), v)))
+    return F.aggregate(parts, none, append, lambda a: F.concat(F.flatten(whole(a)), F.array(F.element_at(a.ends, -1))))

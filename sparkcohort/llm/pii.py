@@ -8,6 +8,9 @@ the entity away entirely).  Terms above the higher threshold are removed, those
 above the lower one generalised, wherever they occur.  A pair counts only with
 enough *different* texts, so copies of one text are not evidence.
 
+A term begins outside every address.  Generalising puts a class in a term's place:
+a name, a code or a word, by the term's shape.
+
 Everything is a DataFrame expression.  The patterns are written with possessive
 repeats and ``\\G`` so that Java's matcher neither recurses nor rescans a run; they
 match what the plain forms match.
@@ -15,10 +18,12 @@ match what the plain forms match.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import Workspace, sized
+from sparkcohort.llm.common import Workspace, sized, carried
 
 MAIL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -58,72 +63,73 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _starts(found: Column, between: Column) -> Column:
-    """Start of each match: what lies before it, matches and texts between them."""
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    return F.transform(found, lambda m, i: F.aggregate(F.slice(steps, 1, i), F.lit(0), lambda a, v: a + v) + F.length(F.get(between, i)))
+def _placed(found: str, between: str, before: str) -> Column:
+    """(v, s) of each match: its start is what lies before it, matches and texts between them.
+
+    Columns are paired and not read by index in a function, where the optimizer
+    might put their whole making in the place of every read.
+    """
+    starts = F.zip_with(between, before, lambda gap, at: at + F.length(gap))
+    return F.filter(F.zip_with(found, starts, lambda m, at: F.struct(m.alias("v"), at.alias("s"))), lambda y: y.v.isNotNull())
 
 
-def _kept(kind: str) -> Column:
-    """The valid spans of a kind, from its matches and their starts."""
-    whole = F.zip_with(f"m_{kind}", f"s_{kind}", lambda m, s: F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + F.length(m)).alias("e"), m.alias("v")))
-    return F.filter(whole, lambda y: valid(kind, y.v))
+def _steps(found: str, between: str) -> Column:
+    """Length of each match and the text before it."""
+    return F.zip_with(F.slice(between, 1, F.size(between) - 1), found, lambda gap, m: F.length(gap) + F.length(m))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """Adds ``spans``: array of (kind, start, end, value) of column x, by kind as listed, then start."""
     x = F.col("x")
-    for kind, pattern in PATTERNS.items():
-        some = x.contains(NEEDS[kind]) if NEEDS[kind] else x.rlike("[0-9]")
-        found = F.when(some, F.regexp_extract_all(x, F.lit(pattern), F.lit(0)))
-        docs = docs.withColumn(f"m_{kind}", found)
-    for kind, pattern in PATTERNS.items():
-        docs = docs.withColumn(f"g_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split(x, pattern, -1)))
-    for kind in PATTERNS:
-        found = F.col(f"m_{kind}")
-        docs = docs.withColumn(f"s_{kind}", F.when(F.col(f"g_{kind}").isNotNull(), _starts(found, F.col(f"g_{kind}"))))
+    found = {kind: F.regexp_extract_all(x, F.lit(pattern), F.lit(0)) for kind, pattern in PATTERNS.items()}
+    some = {kind: x.contains(NEEDS[kind]) if NEEDS[kind] else x.rlike("[0-9]") for kind in PATTERNS}
+    docs = docs.select("*", *(F.when(some[k], found[k]).alias(f"m_{k}") for k in PATTERNS))
+    docs = docs.select("*", *(F.when(F.size(f"m_{k}") > 0, F.split(x, pattern, -1)).alias(f"g_{k}") for k, pattern in PATTERNS.items()))
+    docs = docs.select("*", *(_steps(f"m_{k}", f"g_{k}").alias(f"l_{k}") for k in PATTERNS))
+    docs = docs.select("*", *(F.when(F.col(f"l_{k}").isNotNull(), carried(F.col(f"l_{k}"))).alias(f"b_{k}") for k in PATTERNS))
+    right = {kind: partial(lambda kind, y: valid(kind, y.v), kind) for kind in PATTERNS}
+    docs = docs.select("*", *(F.filter(_placed(f"m_{k}", f"g_{k}", f"b_{k}"), right[k]).alias(f"s_{k}") for k in PATTERNS))
     none = F.array().cast(f"array<{SPAN}>")
-    kinds = [F.coalesce(_kept(kind), none) for kind in PATTERNS]
-    docs = docs.withColumn("spans", F.concat(*kinds))
-    return docs.drop(*(f"{p}_{k}" for p in "mgs" for k in PATTERNS))
+    whole = lambda kind: F.transform(f"s_{kind}", lambda y: F.struct(F.lit(kind).alias("kind"), y.s.alias("s"), (y.s + F.length(y.v)).alias("e"), y.v.alias("v")))
+    docs = docs.withColumn("spans", F.concat(*(F.coalesce(whole(k), none) for k in PATTERNS)))
+    return docs.drop(*(f"{p}_{k}" for p in "mglbs" for k in PATTERNS))
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda y: F.concat_ws(":", y.kind, y.s, y.e)), ",")
 
 
-def _words(x: Column) -> Column:
-    """The different terms of a text outside its addresses, in lower case."""
-    outside = F.when(x.contains("@"), F.regexp_replace(x, PATTERNS["email"], " ")).otherwise(x)
-    return F.array_distinct(F.transform(F.regexp_extract_all(outside, F.lit(TERM), F.lit(0)), F.lower))
+def _by_term(x: Column, make) -> Column:
+    """``make`` with the pattern of terms; where a text may have addresses, these are matches too, so that no term is found in one."""
+    return F.when(x.contains("@"), make(f"{PATTERNS['email']}|{TERM}")).otherwise(make(TERM))
 
 
-def _occurrences(x: Column, spans: Column, kinds: Column) -> Column:
-    """(kind, s, e) of every occurrence of the terms of the map ``kinds`` that touches no span, in one pass over the text."""
-    found, between = F.regexp_extract_all(x, F.lit(TERM), F.lit(0)), F.split(x, TERM, -1)
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), F.element_at(kinds, F.lower(m)).alias("kind")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,s:int,e:int>>").alias("out"))
+def _words(x: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    found = _by_term(x, lambda pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0)))
+    return F.array_distinct(F.transform(F.filter(found, lambda w: ~w.contains("@")), F.lower))
 
-    def step(a: Column, y: Column) -> Column:
-        s, e = a.at + y.g, a.at + y.g + y.m
-        more = F.concat(a.out, F.array(F.struct(y.kind.alias("kind"), s.alias("s"), e.alias("e"))))
-        return F.struct(e.alias("at"), F.when(y.kind.isNull(), a.out).otherwise(more).alias("out"))
 
-    every = F.aggregate(steps, start, step, lambda a: a.out)
-    return F.filter(every, lambda o: ~F.exists(spans, lambda y: (o.s < y.e) & (o.e > y.s)))
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """(row, term, s, e) of every occurrence of every term in the texts x."""
+    x = F.col("x")
+    rows = rows.select("row", "x", _by_term(x, lambda pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))).alias("m"), _by_term(x, lambda pattern: F.split(x, pattern, -1)).alias("g"))
+    rows = rows.select("row", "m", "g", _steps("m", "g").alias("l")).select("row", "m", "g", carried(F.col("l")).alias("b"))
+    each = rows.select("row", F.explode(_placed("m", "g", "b")).alias("y"))
+    return each.select("row", F.lower("y.v").alias("term"), F.col("y.s").alias("s"), (F.col("y.s") + F.length("y.v")).alias("e"))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, ws: Workspace) -> DataFrame:
+def disclosing_terms(docs: DataFrame, base: DataFrame, ws: Workspace, min_texts: int = MIN_CONTEXTS) -> DataFrame:
     """(row, kind, s, e): spans of terms to remove ("term") or to generalise ("class")."""
     held = base.filter(F.size("spans") > 0).select("row", "copy", F.explode(F.array_distinct(F.transform("spans", lambda y: F.xxhash64(y.kind, y.v)))).alias("entity"))
     by_text = held.groupBy("entity", "copy").agg(F.count("*").alias("n"))
     # a pair has no more different texts than its entity
-    entities = by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n")).filter(F.col("n") >= MIN_CONTEXTS)
+    entities = by_text.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("n")).filter(F.col("n") >= min_texts)
     entities = ws.save(entities.select("entity", "n_entity"), "entities")
     by_row = ws.save(held.join(sized(entities.select("entity")), "entity", "left_semi").groupBy("row", "copy").agg(F.collect_set("entity").alias("entities")), "held")
     each = docs.join(sized(by_row), "row").select("copy", "entities", F.explode(_words(F.col("x"))).alias("term"))
     both = each.select("copy", "term", F.explode("entities").alias("entity")).groupBy("entity", "term", "copy").agg(F.count("*").alias("n"))
-    both = both.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n")).filter(F.col("n") >= MIN_CONTEXTS)
+    both = both.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n")).filter(F.col("n") >= min_texts)
     pairs = ws.save(both.select("entity", "term", "n_both"), "pairs")
     wanted = ws.save(pairs.select("term").distinct(), "wanted")
     if not wanted.limit(1).count():
@@ -137,10 +143,9 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, ws: Workspace) -> DataFra
     own = F.log(n_docs / F.col("n_entity"))
     scored = scored.withColumn("disclosure", F.when(own > 0, shared / own).otherwise(0.0)).filter(F.col("disclosure") >= GENERALISE)
     kinds = ws.save(scored.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= REMOVE, "term").otherwise("class")).alias("kind")), "kinds")
-    marks = words.join(sized(kinds), "term").groupBy("row").agg(F.collect_set(F.struct("term", "kind")).alias("terms"))
-    marks = ws.save(marks.join(base.select("row", "spans"), "row"), "marks")
-    found = docs.join(sized(marks), "row").select("row", F.explode(_occurrences(F.col("x"), F.col("spans"), F.map_from_entries("terms"))).alias("o"))
-    return found.select("row", "o.kind", "o.s", "o.e")
+    marks = ws.save(words.join(sized(kinds), "term").select("row").distinct(), "marks")
+    found = _occurrences(docs.join(sized(marks), "row", "left_semi")).join(sized(kinds), "term")
+    return found.select("row", "kind", "s", "e")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -171,21 +176,38 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-#: What takes a span's place in a sanitised text.
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "", "class": "[WORD]"}
+#: What takes a span's place in a sanitised text; a generalised term's class follows from its shape.
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": ""}
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): every span replaced by its label, removed terms by nothing; of overlapping spans the first."""
-    found = find_personal_data(docs, id_col, text_col, keep_text=True)
-    label = F.create_map(*(F.lit(v) for kv in LABELS.items() for v in kv))
-    spans = F.array_sort(F.transform("found", lambda y: F.struct(y.s.alias("s"), (-y.e).alias("o"), y.e.alias("e"), F.element_at(label, y.kind).alias("label"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    x = F.col("text")
+#: Characters of the chunks in which texts are cut, so that a place is found without reading all before it.
+CHUNK = 4096
+
 
-    def step(a: Column, y: Column) -> Column:
-        taken = F.concat(a.out, F.substring(x, a.at + 1, y.s - a.at), y.label)
-        return F.struct(F.when(y.s >= a.at, taken).otherwise(a.out).alias("out"), F.greatest(a.at, y.e).alias("at"))
+def _class(term: Column) -> Column:
+    return F.when(term.rlike("[0-9]"), "[CODE]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
 
-    text = F.aggregate(spans, start, step, lambda a: F.concat(a.out, F.substring(x, a.at + 1, F.length(x))))
-    return found.select("doc_id", text.alias("text"))
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) for every row: every span replaced by its label, removed terms by nothing, others by their class.
+
+    Of spans that overlap the first is replaced and all are taken out.  A null text
+    comes out empty; null and repeated doc_ids and repeated rows keep their rows;
+    other columns are dropped.
+    """
+    rows = find_personal_data(docs, id_col, text_col, keep_text=True)
+    label = F.create_map(*(F.lit(v) for kv in LABELS.items() for v in kv))
+    order = F.array_sort(F.transform("found", lambda y: F.struct(y.s.alias("s"), (-y.e).alias("o"), y.e.alias("e"), y.kind.alias("kind"))))
+    rows = rows.select("doc_id", order.alias("found"), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)).alias("x"), F.length("text").alias("n"))
+    rows = rows.select("*", F.transform("found", lambda y: y.e).alias("ends"))
+    rows = rows.select("*", carried(F.col("ends"), F.greatest).alias("done"))
+
+    def cut(a: Column, b: Column) -> Column:
+        """The text from a to b, of the chunks that it lies in."""
+        first = F.floor(a / CHUNK).cast("int")
+        held = F.array_join(F.slice("x", first + 1, F.floor(b / CHUNK).cast("int") - first + 1), "")
+        return F.when(b > a, F.substr(held, a % CHUNK + 1, b - a)).otherwise("")
+
+    named = lambda y: F.coalesce(F.element_at(label, y.kind), _class(cut(y.s, y.e)))
+    shown = F.zip_with("found", "done", lambda y, done: F.when(y.s.isNull(), cut(done, F.col("n"))).when(y.s >= done, F.concat(cut(done, y.s), named(y))).otherwise(""))
+    return rows.select("doc_id", F.array_join(shown, "").alias("text"))

@@ -433,6 +433,33 @@ def test_disclosing_terms_of_whole_texts(spark):
     assert not any("marlowe" in clean[d].lower() for d in (0, 1, 2, 3, 4, 95))
 
 
+def test_personal_data_with_many_matches(spark):
+    import time
+
+    from sparkcohort.llm.pii import find_personal_data, sanitise
+
+    name = "Marlowe says 10.0.0.1, write phil@agency.com now "
+    rows = [(i, f"{text(8, i)} {name * (1 if i else 2000)}") for i in range(4)] + [(9, "12," * 100_000), (10, "+1 202 555 0147 x@y.org, " * 20_000)]
+    rows += [(50 + i, f"{text(20, 200 + i)} info@firm{i}.com") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in find_personal_data(df).collect()}
+    assert [tuple(got[d])[:6] for d, _ in rows] == brute.personal(rows)
+    assert got[10].n_phone == got[10].n_email == 20_000 and got[0].n_terms >= 2000
+    clean = {r.doc_id: r.text for r in sanitise(df).collect()}
+    assert clean[9] == rows[4][1] and clean[10] == "[PHONE] [EMAIL], " * 20_000
+    assert "Marlowe" not in clean[0] and clean[0].count("[EMAIL]") == clean[0].count("[IP]") == 2000
+    assert time.time() - began < 120
+
+
+def test_generalised_terms(spark):
+    from sparkcohort.llm.pii import sanitise
+
+    rows = [(i, f"{text(9, i)} Gregor mail me@x{i % 3}.org") for i in range(12)] + [(50 + i, f"{text(9, 99 + i)} mail a@b{i}.org") for i in range(40)]
+    clean = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all("Gregor" not in clean[i] and "[NAME] mail [EMAIL]" in clean[i] for i in range(12))
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
