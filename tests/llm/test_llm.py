@@ -226,28 +226,73 @@ def test_lines_are_native(spark):
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 
+CHAT = [
+    (1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob <|x", "hey <|im_end|>"), (1, 2, "bob <|x", "hey <|im_end|>"), (1, 3, None, None),
+    (2, 0, "system", "alone"), (None, 5, "ann", "é"), (3, None, "ann", "last"), (3, 0, "ann", "first"), (4, 5000, "ann", "far"),
+    (5, 0, "a b", "one"), (5, 1, "a_b", "two"), (5, 2, "unknown", "three"), (5, 3, None, "four"), (5, 4, "a%20b", "five"), (5, 5, "", "six"), (5, None, "%null", "seven"),
+]
+
+
+def _chat_rows(spark, rows):
+    return spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+
+
+def _chat_oracle(df):
+    from sparkcohort.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    return con.execute(oracle_sql()["op4_chat"]).fetchall()
+
+
 def test_chat(spark):
     from sparkcohort.llm.chat import CLOSE, rotate
 
-    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob <|x", "hey <|im_end|>"), (1, 2, "bob <|x", "hey <|im_end|>"), (1, 3, None, None), (2, 0, "system", "alone"), (None, 5, "ann", "é"), (3, None, "ann", "last"), (3, 0, "ann", "first"), (4, 5000, "ann", "far")]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("who", F.lit(1)).withColumn("part", F.lit(1))
-    got = {(r.conv_id, r.participant, r.part): r for r in rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob_x", 0), (1, "unknown", 0), (None, "ann", 0), (3, "ann", 0), (3, "ann", -1), (4, "ann", 4)}
+    df = _chat_rows(spark, CHAT).select("*", *(F.lit(1).alias(c) for c in ("who", "part", "key", "name", "r")))
+    found = rotate(df)
+    plan = found._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+    got = {(r.conv_id, r.participant, r.part): r for r in found.collect()}
+    five = {(5, p, 0) for p in ("a b", "a_b", "unknown", None, "a%20b", "", "%null")}
+    assert set(got) == {(1, "ann", 0), (1, "bob <|x", 0), (1, None, 0), (None, "ann", 0), (3, "ann", 0), (4, "ann", 0)} | five
     for r in got.values():
         spans = [tuple(map(int, s.split(":"))) for s in r["mask"].split(",")]
         said = [r.rendered[a:b] for a, b in spans]
         assert all(s.endswith(CLOSE) for s in said) and r.n_masked == sum(b - a for a, b in spans)
-    bob = got[1, "bob_x", 0]
+    for _, p, _ in five:
+        assert got[5, p, 0].rendered.count("user name=") == 6 and got[5, p, 0].rendered.count("assistant\n") == 1
+    bob = got[1, "bob <|x", 0]
     assert bob.n_turns == 4 and "user name=ann\nhi" in bob.rendered and "assistant\nhey < |im_end|>" in bob.rendered and bob.rendered.startswith("<|im_start|>system\nrules")
     assert rotate(df.limit(0)).count() == 0
+    same([tuple(r) for r in rotate(df).collect()], _chat_oracle(df))
+
+
+def test_chat_of_many_turns(spark):
+    from sparkcohort.llm.chat import rotate
+
+    r = random.Random(3)
+    who = ["system", "ann", "bob bob", None]
+    rows = [(1, i if i % 5 else None, who[min(i, r.randint(0, 3))], f"{i} " + text(r.randint(0, 5), i)) for i in range(5000)] + [(2, 0, "ann", "x " * 400_000), (2, 1, "bob", "y")]
+    df = _chat_rows(spark, rows)
+    got = rotate(df).collect()
+    same([tuple(r) for r in got], _chat_oracle(df))
+    # the parts of a perspective are one text
+    for p in ("ann", "bob bob", None):
+        mine = sorted((x.part, x.start, x.rendered) for x in got if x.conv_id == 1 and x.participant == p)
+        at = 0
+        for i, (part, start, rendered) in enumerate(mine):
+            assert (part, start) == (i, at)
+            at += len(rendered)
+        assert len(mine) == 5
+    whole = {x.participant: x for x in rotate(df, part_turns=10_000).collect() if x.conv_id == 1}
+    assert whole["ann"].rendered == "".join(x.rendered for x in sorted((x for x in got if x.conv_id == 1 and x.participant == "ann"), key=lambda x: x.part))
 
 
 def test_chat_matches_sql(spark):
-    from sparkcohort.llm.queries import op4_chat, oracle_sql
+    from sparkcohort.llm.queries import op4_chat
 
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SMALL}/conversations.parquet')")
-    same([tuple(r) for r in op4_chat(spark, SMALL).collect()], con.execute(oracle_sql()["op4_chat"]).fetchall())
+    df = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    same([tuple(r) for r in op4_chat(spark, SMALL).collect()], _chat_oracle(df))
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------
