@@ -94,8 +94,7 @@ def text_slices(batch: pa.RecordBatch, column: int, limit: int = 2_000_000):
 
 def space_words(text: Column) -> Column:
     """The words of a text as an array, empty for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS, -1)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS, -1), "")
 
 
 def ascii_lower(text: Column) -> Column:

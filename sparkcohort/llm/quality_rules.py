@@ -13,12 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import Workspace, space_words
+from sparkcohort.llm.common import SPACE_CLASS, Workspace, space_words
 
-SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\u000b\f\r"
-#: Words beyond which windows are ordered as (hash, place) structures instead of packed longs.
-PACKED_WORDS = 1 << 16
+SYMBOLS = "[#*$%&|<>]+"
 PRIOR_GOOD = 0.8
 #: The end of a word in a letter or digit, with one mark of punctuation at most.
 PLAIN_END = r"[\p{L}\p{N}][.,;:!?)\"']?(?=[\x20\x09-\x0D]|\z)"
@@ -26,17 +23,39 @@ PLAIN_END = r"[\p{L}\p{N}][.,;:!?)\"']?(?=[\x20\x09-\x0D]|\z)"
 START = {1: (0.85, 0.6), -1: (0.02, 0.3), 0: (0.13, 0.1)}
 
 
-def _windows(words: Column, n: Column) -> tuple[Column, Column]:
-    """3-word windows as (hash, place), packed in one long with the place in the low bits, and as structures.
+def _hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
-    One sort of either puts equal windows side by side.
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """Adds ``p``: where the 3-word windows of ``w`` (``n`` words) start that the text has twice or more, in order.
+
+    One sort of longs, a window's hash with its place in the low bits, puts equal
+    windows side by side, and the words of neighbours are compared.  Where two
+    neighbours agree in hash alone, the text's windows are sorted by their words.
     """
-    starts = F.sequence(F.lit(0), n - 3)
+    w, n, s = F.col("w"), F.col("n"), F.col("s")
     bits = F.length(F.bin(n.cast("long")))
-    window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-    packed = F.transform(starts, lambda i: F.call_function("shiftleft", window(i), bits).bitwiseOR(i.cast("long")))
-    wide = F.transform(starts, lambda i: F.struct(window(i).alias("h"), i.cast("long").alias("p")))
-    return packed, wide
+    starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    packed = F.transform(starts, lambda i: F.call_function("shiftleft", _hash(w, i), bits).bitwiseOR(i.cast("long")))
+    rows = rows.withColumn("s", F.sort_array(packed))
+    high = lambda v: F.call_function("shiftright", v, bits)
+    place = lambda v: v.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+
+    def words_agree(a: Column, b: Column) -> Column:
+        i, j = place(a), place(b)
+        return (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+
+    # 0: differs from the next, 1: equal, 2: equal in hash alone
+    pairs = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: F.when(b.isNull() | (high(a) != high(b)), 0).when(words_agree(a, b), 1).otherwise(2).cast("tinyint"))
+    rows = rows.withColumn("z", pairs)
+    quick = F.zip_with(s, F.zip_with("z", F.concat(F.array(F.lit(0).cast("tinyint")), "z"), lambda x, y: x + y), lambda v, twin: F.when(twin > 0, place(v)))
+    named = F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("v"), i.alias("i"))))
+    rows = rows.withColumn("named", F.when(F.array_contains("z", F.lit(2).cast("tinyint")), named))
+    spelt = F.filter("named", lambda x, k: (F.get("named", k - 1).v == x.v) | (F.get("named", k + 1).v == x.v))
+    none = F.array().cast("array<int>")
+    found = F.when(F.coalesce(F.array_max("z"), F.lit(0)) == 0, none).when(F.col("named").isNull(), F.filter(quick, lambda v: v.isNotNull())).otherwise(F.transform(spelt, lambda x: x.i))
+    return rows.withColumn("p", F.sort_array(found)).drop("s", "z", "named")
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,38 +63,24 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col("x"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("x"))
     rows = rows.select("doc_id", text.alias("x"), space_words(F.col("x")).alias("w"))
-    rows = rows.withColumn("n", F.size("w"))
-    w, n = F.col("w"), F.col("n")
-    packed, wide = _windows(w, n)
-    empty = F.array().cast("array<bigint>")
-    rows = rows.select(
-        "*",
-        F.when((n >= 3) & (n <= PACKED_WORDS), F.array_sort(packed)).otherwise(empty).alias("s"),
-        F.when(n > PACKED_WORDS, F.array_sort(wide)).otherwise(F.array().cast("array<struct<h:bigint,p:bigint>>")).alias("z"),
-    )
-    bits = F.length(F.bin(n.cast("long")))
-    high = lambda v: F.call_function("shiftright", v, bits)
-    s, z = F.col("s"), F.col("z")
-    twin = F.filter(s, lambda v, i: (high(F.get(s, i - 1)) == high(v)) | (high(F.get(s, i + 1)) == high(v)))
-    low = F.transform(twin, lambda v: v.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1))
-    twin_z = F.transform(F.filter(z, lambda v, i: (F.get(z, i - 1).h == v.h) | (F.get(z, i + 1).h == v.h)), lambda v: v.p)
-    rows = rows.select("doc_id", "x", "n", F.array_sort(F.when(n > PACKED_WORDS, twin_z).otherwise(low)).alias("p"), F.split("x", "\n", -1).alias("l"))
-    p = F.col("p")
+    rows = _repeats(rows.withColumn("n", F.size("w")))
+    rows = rows.select("doc_id", "x", "n", "p", F.split("x", "\n", -1).alias("l"))
     # a window covers three words; the next repeated window may start before its end
-    covered = F.aggregate(F.transform(p, lambda v, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - v, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, v: a + v)
-    blank = F.translate("x", SPACES, "")
+    steps = F.zip_with("p", F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), lambda v, after: F.least(F.lit(3), F.coalesce(after - v, F.lit(3))))
+    covered = F.aggregate(steps, F.lit(0).cast("long"), lambda a, v: a + v)
+    gone = lambda kind: F.length("x") - F.length(F.regexp_replace("x", kind, ""))
     rows = rows.withColumn("ll", F.filter("l", lambda v: v.rlike(r"[^\x20\x09-\x0D]")))
     return rows.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
-        F.length(blank).cast("long").alias("word_chars"),
-        (F.length("x") - F.length(F.translate("x", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("x", SPACE_CLASS, "")).cast("long").alias("word_chars"),
+        gone(SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("ll") - F.size(F.array_distinct("ll"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("ll").cast("long").alias("n_lines"),
-        (F.length("x") - F.length(F.translate("x", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_caps"),
-        (F.length("x") - F.length(F.translate("x", "0123456789", ""))).cast("long").alias("n_digits"),
-        F.length(F.regexp_replace("x", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
+        gone("[A-Z]+").cast("long").alias("n_caps"),
+        gone("[0-9]+").cast("long").alias("n_digits"),
+        gone(r"\p{L}+").cast("long").alias("n_letters"),
         F.regexp_count("x", F.lit(PLAIN_END)).cast("long").alias("n_plain_ends"),
     )
 
