@@ -138,20 +138,49 @@ def test_substring_small_tables(spark):
     same([tuple(r) for r in substring_dedup(df).collect()], brute.substring([tuple(r) for r in df.select("doc_id", "text").collect()]))
 
 
-def test_runs_are_merged(spark):
-    from sparkcohort.llm.common import Workspace
+def _merge_joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_runs_are_joined_and_merged(spark, tmp_path):
     from sparkcohort.llm.substring import FingerprintRuns
 
-    index = FingerprintRuns(spark, Workspace(spark, "t"), fanout=2)
     batch = lambda *h: spark.createDataFrame([(x,) for x in h], "h bigint")
-    assert index.seen(batch(1)).count() == 0
-    index.append(batch(1, 2, 2))
-    index.append(batch(3, 4))
-    assert sorted(tuple(r) for r in index.seen(batch(2, 4, 9)).collect()) == [(2, 2), (4, 1)]
-    index.append(batch(1, 5))
-    assert len(index.runs) == 1
-    assert sorted(r.h for r in index.repeated().collect()) == [1, 2]
+    hit = lambda df: sorted(r.h for r in df.collect())
+    index = FingerprintRuns(spark, f"file://{tmp_path}/index", fanout=2)
+    assert hit(index.add(batch(1, 2, 2))) == [2]
+    assert hit(index.add(batch(3, 4, 1))) == [1]
+    first, second = (index.run(n) for n in index.runs)
+    assert _merge_joins(second.hint("merge").join(first, "h", "left_semi"))  # no shuffle between runs
     index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(index.prefix)]
+    index = FingerprintRuns(spark, f"file://{tmp_path}/index", fanout=2)  # opened again, from its manifest
+    assert len(index.runs) == 2 and index.batches == 2
+    assert _merge_joins(index.run(index.runs[1]).hint("merge").join(index.run(index.runs[0]), "h", "left_semi"))
+    assert hit(index.add(batch(2, 4, 9))) == [2, 4]
+    assert len(index.runs) == 1  # compacted
+    assert sorted(tuple(r) for r in index.run(index.runs[0]).collect()) == [(1, 2), (2, 3), (3, 1), (4, 2), (9, 1)]
+    assert hit(index.add(batch(9, 10))) == [9]
+    index.destroy()
+    assert not (tmp_path / "index").exists()
+
+
+def test_batches_of_documents(spark, tmp_path):
+    from sparkcohort.llm.substring import SubstringIndex, dedup_batch
+
+    passage, r = text(50, 77), random.Random(6)
+    rows = [(i, f"{text(r.randint(0, 60), i)} {passage if i % 4 == 0 else ''} {text(r.randint(0, 60), 90 + i)}") for i in range(24)]
+    rows += [(30, None), (31, ""), (None, passage), (33, "é " + passage + " " + passage), (1, rows[1][1])]
+    frame = lambda part: spark.createDataFrame(part, "doc_id bigint, text string").withColumn("batch", F.lit(9))
+    done = []
+    for part in (rows[:9], rows[9:20], rows[20:]):
+        index = SubstringIndex(spark, f"file://{tmp_path}/index")  # another session would open it the same way
+        got = dedup_batch(frame(part), index, frame(done) if done else None, texts=True).collect()
+        index.runs.close()
+        done = done + part
+        want = brute.substring(done)[-len(part) :]
+        same([tuple(x)[:4] for x in got], want)
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------
