@@ -258,16 +258,18 @@ class SubstringIndex:
         ``rows`` has all documents of the index; only those are read in which regions of an anchor differ.
         """
         window = self.window
+        # what is joined with is written first: both sides are then shuffled for the join, and a hot hash can be split
+        hits = ws.save(hits.distinct(), "hits")
         met = ws.save(self.anchors().join(hits, "h", "left_semi").select("k", "d", "h", "r1", "r2", "s", "e", "batch"), "met")
         kinds = met.groupBy("h", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct("k", "d", "s", "e", "batch")).alias("one"))
         kinds = ws.save(kinds, "kinds")
         whole = met.join(kinds.filter("n > 1").select("h", "r1", "r2"), ["h", "r1", "r2"], "left_semi").select("k", "d", "s", (F.col("e") + window).alias("e"), "batch")
-        mixed = kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+        mixed = ws.save(kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "mixed")
         look = kinds.join(mixed, "h", "left_semi").select("one.*", "n").groupBy("k", "d", "batch").agg(F.collect_set(F.struct("s", "e", "n")).alias("spans"))
         look = ws.save(look, "look")
         windows = rows.join(look.drop("batch"), ["k", "d"]).select("k", "d", "t", "spans").mapInArrow(partial(_window_batches, window=window), "k long, d long, p int, w1 long, w2 long, single boolean")
         windows = ws.save(windows, "windows")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+        twice = ws.save(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "twice")
         part = windows.filter("single").join(twice, ["w1", "w2"], "left_semi").select("k", "d", F.col("p").alias("s"), (F.col("p") + window).alias("e"))
         part = part.join(look.select("k", "d", "batch").distinct(), ["k", "d"])
         return whole.union(part)
@@ -306,7 +308,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, gram: int = 6, batches: i
         for i in range(batches):
             new = index.add(rows.filter(F.pmod("k", F.lit(batches)) == i))
             hits = new if hits is None else hits.union(new)
-        spans = index.spans(rows.select("k", "d", "t"), hits.distinct(), ws)
+        spans = index.spans(rows.select("k", "d", "t"), hits, ws)
         out = _cut(rows, spans, ws, texts)
     finally:
         index.runs.destroy()
