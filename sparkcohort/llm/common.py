@@ -64,9 +64,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sized(saved: DataFrame, rows: int = 300_000) -> DataFrame:
-    """A written table, marked for broadcast if it has at most ``rows`` rows; beyond that a join shuffles it."""
-    return F.broadcast(saved) if saved.limit(rows + 1).count() <= rows else saved
+def sized(saved: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """A written table, marked for broadcast if its files have at most ``most`` bytes; beyond that a join shuffles it."""
+    held = int(str(saved._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(saved) if held <= most else saved
 
 
 def text_bytes(name: str = "text") -> Column:

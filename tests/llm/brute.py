@@ -73,24 +73,24 @@ def near(a, b):
     return any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
 
 
-def lines(rows):
-    """(doc, line, keep doc, keep line, edits) of the lines that go."""
+def lines(rows, protect=5, edit_words=5):
+    """(doc, line, keep doc, keep line, edits) of the lines that go: an earlier line that stays is equal or one edit away."""
     docs = sorted({(d, t) for d, t in rows if t is not None}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    found, first, out = [], {}, []
+    stays, known, out = [], {}, []
     for d, t in docs:
         for p, line in enumerate(t.split("\n")):
             w = tuple(words(line))
-            if len(w) < 5:
+            if not w:
                 continue
-            if w in first:
-                out.append((d, p, *first[w], 0))
-                continue
-            first[w] = (d, p)
-            if len(w) >= 10:
-                earlier = [x[:2] for x in found if near(x[2], w)]
-                if earlier:
-                    out.append((d, p, *earlier[0], 1))
-                found.append((d, p, w))
+            if w not in known:
+                earlier = [x[:2] for x in stays if near(x[2], w)] if len(w) >= edit_words else []
+                known[w] = (*earlier[0], 1) if earlier else (d, p, 0)
+                if not earlier:
+                    if len(w) >= edit_words:
+                        stays.append((d, p, w))
+                    continue
+            if len(w) >= protect:
+                out.append((d, p, *known[w]))
     return out
 
 

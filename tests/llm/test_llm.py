@@ -222,8 +222,8 @@ def test_lines_random_edits(spark, monkeypatch, broadcast):
         monkeypatch.setattr(line_dedup, "sized", lambda df, rows=0: df.hint("merge"))
     r = random.Random(9)
     rows = []
-    for i in range(60):
-        w = text(r.randint(9, 14), i % 9).split()
+    for i in range(90):
+        w = text(r.randint(4, 14), i % 9).split()
         for _ in range(r.choice([0, 1, 1, 2])):
             at = r.randrange(len(w))
             w[at : at + 1] = r.choice([[], ["zz"], [w[at], "zz"]])
@@ -232,6 +232,28 @@ def test_lines_random_edits(spark, monkeypatch, broadcast):
     same([tuple(x) for x in got.collect()], brute.lines(rows))
 
 
+def test_chains_of_lines(spark):
+    from sparkcohort.llm.line_dedup import dedup_lines, line_duplicates
+
+    # every line is one edit from the one before; long chains, in mixed order, with copies
+    r, rows = random.Random(4), []
+    ids = iter(r.sample(range(400), 400))
+    for c in range(6):
+        w = [f"c{c}w{i}" for i in range(9)]
+        for j in range(25):
+            w[r.randrange(9)] = f"c{c}n{j}"
+            rows.append((next(ids), " ".join(w)))
+            if j % 7 == 0:
+                rows.append((next(ids), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(x) for x in line_duplicates(df).collect()]
+    same(got, brute.lines(rows))
+    gone = {(d, p) for d, p, *_ in got}
+    assert not gone & {(x[2], x[3]) for x in got}
+    kept = [tuple(brute.words(x.text)) for x in dedup_lines(df).collect()]
+    assert all(any(brute.near(tuple(brute.words(t)), k) for k in kept) for _, t in rows)
+
+
 def test_short_lines_are_compared(spark, tmp_path):
     import corpus_pipeline as cp
     from sparkcohort.llm.queries import op3_line_dedup
