@@ -5,7 +5,7 @@ one word edit (a word put in, taken out or replaced) in ``edit_words`` words: li
 that long match at up to one edit, shorter ones when they are equal.  Callers may
 protect short lines: that only leaves them out of what is returned.
 
-Variants with one word deleted are hashed keys.  Two lines that are equal
+Variants with one word deleted are keys, hashed from the hashes of words.  Two lines that are equal
 without the word at the same place differ by a replacement; a line that equals
 another's variant differs by an insertion.  Lines that meet at a key are read
 again and grouped by the very words that are left: what is equal there is at most
@@ -27,20 +27,21 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import SPACE_CLASS, Workspace, sized, text_key
+from sparkcohort.llm.common import Workspace, sized, text_key
 
 #: One edit is allowed to lines of so many words.
 EDIT_WORDS = 5
 LAST = (1 << 63) - 1
 
 
-def _hash2(*parts: Column) -> tuple[Column, Column]:
-    return F.xxhash64(*parts), F.xxhash64(F.lit(99), *parts)
+def _words(line: Column) -> Column:
+    """The words of a line.  Only a line with other blanks than spaces is rewritten; one character splits without a pattern."""
+    plain = F.when(line.rlike(r"[\t\x0B\f\r]"), F.translate(line, "\t\u000b\f\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
-def _words(line: Column) -> Column:
-    """The words of a line; the built-in removal is compiled, a filter with a lambda is not."""
-    return F.array_remove(F.split(line, SPACE_CLASS, -1), "")
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,31 +54,31 @@ def _lines(rows: DataFrame, edit_words: int) -> DataFrame:
     """(d, k, p, h1, h2, n, k1..k4) of every compared line: hash, words, and the hashes of its halves."""
     each = rows.select("d", "k", F.posexplode(F.split("x", "\n", -1)).alias("p", "line"))
     each = each.select("d", "k", "p", _words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
-    h1, h2 = _hash2(F.col("w"))
+    each = each.select("d", "k", "p", "n", F.xxhash64(F.lit(99), "w").alias("h2"), _hashes(F.col("w")).alias("w"))
     half, other = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
     keys = [F.xxhash64(F.lit(0), m, F.slice("w", 1, m)) for m in (half, other)] + [F.xxhash64(F.lit(1), m, F.slice("w", F.col("n") - m + 1, m)) for m in (half, other)]
     long_enough = F.col("n") >= edit_words
-    return each.select("d", "k", "p", h1.alias("h1"), h2.alias("h2"), "n", *(F.when(long_enough, c).alias(f"k{i}") for i, c in enumerate(keys, 1)))
+    return each.select("d", "k", "p", F.xxhash64("w").alias("h1"), "h2", "n", *(F.when(long_enough, c).alias(f"k{i}") for i, c in enumerate(keys, 1)))
 
 
 ORDER = ("d", "k", "p")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """Rows (place, length, v1, v2, own, cut): a line's variants without the word at ``cut``, and the line itself (cut -1).
+    """Rows (place, length, v, own, cut): a line's variants without the word at ``cut``, and the line itself (cut -1).
 
     A variant is there twice: with its place (replacements) and without (insertions, place -1, where lines are too).
     """
-    w, n = F.col("w"), F.col("n")
+    w, n = F.col("h"), F.col("n")
     low = F.when(F.col("tail"), F.lit(0)).otherwise(F.floor((n - 1) / 2).cast("int"))
     high = F.when(F.col("head"), n - 1).otherwise(n - F.floor((n - 1) / 2).cast("int"))
-    rest = lambda i: (F.slice(w, F.lit(1), i), F.slice(w, i + 2, n))
-    cut = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), _hash2(*rest(i))[0].alias("v1"), _hash2(*rest(i))[1].alias("v2")))
-    cut = lines.select("d", "k", "p", "h1", "h2", "n", F.explode(cut).alias("c"))
+    cut = F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("cut"), (n - 1).alias("length"), F.xxhash64(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n)).alias("v")))
+    whole = F.struct(F.lit(-1).alias("cut"), n.alias("length"), F.xxhash64(w).alias("v"))
     own = F.struct("d", "k", "p").alias("own")
-    whole = lines.select(F.lit(-1).alias("place"), n.alias("length"), F.col("h1").alias("v1"), F.col("h2").alias("v2"), own, F.lit(-1).alias("cut"))
-    places = cut.select(F.explode(F.array(F.col("c.i"), F.lit(-1))).alias("place"), (n - 1).alias("length"), "c.v1", "c.v2", own, F.col("c.i").alias("cut"))
-    return places.union(whole)
+    lines = lines.select(own, "n", "head", "tail", _hashes(F.col("w")).alias("h"))
+    each = lines.select("own", F.explode(F.concat(cut, F.array(whole))).alias("c"))
+    places = F.when(F.col("c.cut") < 0, F.array(F.lit(-1))).otherwise(F.array("c.cut", F.lit(-1)))
+    return each.select(F.explode(places).alias("place"), "c.length", "c.v", "own", "c.cut")
 
 
 def _read(rows: DataFrame, look: DataFrame) -> DataFrame:
@@ -137,10 +138,10 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text
     shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("key")
     mine = halves.join(ws.save(shared, "halves"), "key", "left_semi").groupBy("h1", "h2", "d", "k", "p")
     mine = mine.agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
-    look = mine.groupBy("d", "k").agg(F.collect_set(F.struct("p", "h1", "h2", "head", "tail")).alias("look"))
+    look = mine.groupBy("d", "k").agg(F.collect_set(F.struct("p", "head", "tail")).alias("look"))
     variants = ws.save(_variants(_read(rows, ws.save(look, "look"))), "variants")
-    key = ["place", "length", "v1", "v2"]
-    # two lines at least, by their hashes; a line may meet itself in two of its variants
+    key = ["place", "length", "v"]
+    # two lines at least; a line may meet itself in two of its variants
     several = variants.groupBy(*key).agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a != b").select(*key)
     met = ws.save(variants.join(sized(ws.save(several, "several")), key, "left_semi").select("own", "place", "cut"), "met")
     ws.drop("variants", "look")
