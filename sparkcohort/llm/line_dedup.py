@@ -136,7 +136,7 @@ def duplicate_lines(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text
     )).alias("x")).select("h1", "h2", "d", "k", "p", "x.*")
     # the two lengths of a half agree for odd n: a line then has its key twice, so the smallest and largest line of a key are compared
     shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("key")
-    mine = halves.join(ws.save(shared, "halves"), "key", "left_semi").groupBy("h1", "h2", "d", "k", "p")
+    mine = halves.join(sized(ws.save(shared, "halves")), "key", "left_semi").groupBy("h1", "h2", "d", "k", "p")
     mine = mine.agg(F.max("head").alias("head"), F.max(~F.col("head")).alias("tail"))
     look = mine.groupBy("d", "k").agg(F.collect_set(F.struct("p", "head", "tail")).alias("look"))
     variants = ws.save(_variants(_read(rows, ws.save(look, "look"))), "variants")
