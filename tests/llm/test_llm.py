@@ -630,6 +630,29 @@ def test_decontamination(spark):
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_recall_and_blocks(spark, monkeypatch):
+    from sparkcohort.llm import decontamination
+    from sparkcohort.llm.decontamination import allowed, contaminated
+
+    # every planted passage has as many edits as are allowed
+    r, rows = random.Random(12), []
+    items = [(i, text(r.randint(14, 59), 3000 + i)) for i in range(40)]
+    for i in range(200):
+        w = items[i % 40][1].split()
+        for at in r.sample(range(len(w)), allowed(len(w), 0.2)):
+            w[at] = "zz"
+        rows.append((i, f"{text(60, i)} {' '.join(w)} {text(60, 500 + i)}"))
+    rows += [(900, text(100_000, 8) + " " + items[3][1] + " " + text(100_000, 9)), (901, "  Yes. "), (902, "yes yes"), (903, "one word yes")]
+    bench = spark.createDataFrame([*items, (70, "yes"), (71, items[3][1]), (71, items[3][1])], "item_id bigint, text string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in contaminated(docs, bench).collect()}
+    planted = {(i, i % 40) for i in range(200)}
+    assert len(got & planted) >= 0.9 * len(planted)
+    assert {(900, 3), (900, 71), (901, 70)} <= got and not got & {(902, 70), (903, 70)}
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 40_000)
+    assert {(x.doc_id, x.item_id) for x in contaminated(docs, bench).collect()} == got
+
+
 def test_clean_documents_stay_clean(spark):
     from sparkcohort.llm.queries import op9_decontamination
 
