@@ -457,6 +457,44 @@ def test_cotraining_held_out(spark):
     assert {x.doc_id for x in kept.collect()} == {x.doc_id for x in quality_scores(docs, lab).filter("kept").collect()}
 
 
+def test_cotraining_matches_its_plain_version(spark, docs):
+    """All rows in one process, each pass over the unlabelled ones a plain loop; labelled nulls, empties and long texts."""
+    from sparkcohort.llm import cotraining as ct
+
+    r, extra = random.Random(3), []
+    for i in range(400):
+        t = text(r.randint(20, 60), i)
+        extra.append((100 + i, t if i % 3 else t.upper() + " $$ $$", "de", "a" if i % 3 else "b", len(t)))
+    frame = docs.unionByName(spark.createDataFrame(extra, "doc_id bigint, text string, lang string, source string, n_chars bigint"), allowMissingColumns=True)
+    lab = [(100 + i, int(i % 3 > 0), 0) for i in range(160)] + [(4, 0, 0), (5, 0, 0), (6, 0, 0), (10, 1, 0), (12, 1, 0)]
+    labels = spark.createDataFrame(lab, "doc_id bigint, quality int, toxic int")
+    rows = [tuple(x) for x in frame.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    good = {d: int(q == 1 and not x) for d, q, x in lab}
+    views = [(ct.text_features((t or "").encode()), ct.meta_features(*m)) for _, t, *m in rows]
+    known = sorted((good[d], v[0].tobytes(), v[1].tobytes()) for (d, *_), v in zip(rows, views, strict=True) if d in good)
+    rest = [v for (d, *_), v in zip(rows, views, strict=True) if d not in good]
+
+    def taught_by(weights):
+        total = [np.zeros((2, size + 1), dtype=np.int64) for size in ct.SIZES]
+        for v in rest:
+            for own, size in enumerate(ct.SIZES):
+                z = weights[1 - own][v[1 - own]].sum() + weights[1 - own][-1]
+                p = 1 / (1 + np.exp(-min(30, max(-30, z))))
+                for side, sure in ((0, p >= 0.97), (1, p <= 0.03)):
+                    if sure:
+                        total[own][side][v[own]] += 1
+                        total[own][side][-1] += 1
+        return total
+
+    model = ct.co_train(np.array([k[0] for k in known]), [np.frombuffer(k[1], dtype=np.int32) for k in known], [np.frombuffer(k[2], dtype=np.int32) for k in known], taught_by)
+    assert taught_by(model.views)[0][:, -1].sum() > 50
+    want = model.probabilities(*(ct.Rows.of([v[i] for v in views]) for i in (0, 1)))[2]
+    got = [(x.doc_id, round(x.probability, 6)) for x in ct.quality_scores(frame, labels).collect()]
+    same(got, [(d, round(float(p), 6)) for (d, *_), p in zip(rows, want, strict=True)])
+    kept = ct.keep_good(frame, labels)
+    assert kept.columns == frame.columns and kept.count() == sum(p >= 0.6 for p in want)
+
+
 def test_cotraining_edges(spark, docs, empty):
     from sparkcohort.llm.cotraining import quality_scores
 
