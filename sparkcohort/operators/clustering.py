@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcohort.sources.contracts import require_columns, require_no_collision
+from sparkcohort.sources.storage import frozen
 
 SEEDS = 10
 
@@ -64,7 +65,7 @@ def fit_clusters(df: DataFrame, place: list[str], normals: list[str], k: int, se
         profiles.unpersist()
     order = tuple(sorted(range(len(model.clusterCenters())), key=lambda i: tuple(np.round(model.clusterCenters()[i], 9))))
     fitted = ClusterModel(place, normals, scaler, model, order, profiles)
-    return ClusterModel(place, normals, scaler, model, order, _labels(fitted, profiles, "__known"))
+    return ClusterModel(place, normals, scaler, model, order, frozen(_labels(fitted, profiles, "__known"), "places"))
 
 
 def _labels(m: ClusterModel, profiles: DataFrame, out: str) -> DataFrame:

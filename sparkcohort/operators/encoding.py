@@ -1,6 +1,7 @@
 """Learned lookups: anomalies against tiered baselines, shrunk group means, target encodings.
 
-Fitted state is small: tables with one row a group, and a few numbers.  Rows the
+Fitted state is small: tables with one row a group, written once when learned, and a
+few numbers.  Rows the
 state was learned on use leave-one-out forms, which follow from sums and counts
 and never need a second pass over a group's rows; other rows use the plain lookup.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkcohort.operators.joins import lookup, tiered_lookup
 from sparkcohort.sources.contracts import require_columns, require_no_collision
+from sparkcohort.sources.storage import frozen
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ def fit_baseline(df: DataFrame, value: str, group: list[str], date: str, min_row
     total, n = df.agg(F.sum(value), F.count(value)).first()
     if not n:
         raise ValueError(f"no {value} to learn from")
-    return Baseline(value, group, date, fine, coarse, float(total), n, min_rows)
+    return Baseline(value, group, date, frozen(fine, "baseline"), frozen(coarse, "baseline"), float(total), n, min_rows)
 
 
 def apply_anomaly(df: DataFrame, state: Baseline) -> DataFrame:
@@ -97,7 +99,7 @@ def fit_shrunk(df: DataFrame, value: str, keys: list[str], k: float = 5.0) -> Sh
         raise ValueError(f"no {value} to learn from")
     groups = df.groupBy(*keys).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     groups = groups.withColumn("shrunk", (F.col("s") + F.lit(k * mean)) / F.nullif(F.col("n") + F.lit(float(k)), F.lit(0.0)))
-    return ShrunkMeans(value, keys, groups, mean, float(k))
+    return ShrunkMeans(value, keys, frozen(groups, "means"), mean, float(k))
 
 
 def apply_shrunk(df: DataFrame, state: ShrunkMeans, out: str) -> DataFrame:

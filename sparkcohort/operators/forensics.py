@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcohort.functions.ranks import quantile_edges, right_closed_bin
+from sparkcohort.functions.ranks import average_ranks, dense_ids, quantile_edges, right_closed_bin
 from sparkcohort.functions.scalars import safe_ratio
 from sparkcohort.functions.stats import corrected_kurtosis, corrected_skewness
 
@@ -76,3 +76,48 @@ def twin_agreement(df: DataFrame, keys: list[str], target: str) -> DataFrame:
     p = F.avg(F.col(target).cast("double"))
     chance = df.agg((p * p + (1 - p) * (1 - p)).alias("by_chance"))
     return found.join(F.broadcast(chance), F.lit(True))  # one row each
+
+
+def merged_scores(tables: list[DataFrame], key: str) -> DataFrame:
+    """Inner merge of tables with one row a feature."""
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.join(other, key)
+    return out
+
+
+def rank_gap(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds <a>_rank and <b>_rank, descending with mean ranks for ties, and rank_gap, the second less the first."""
+    n = df.agg(F.count("*").alias("__n"))
+    for c in (a, b):
+        ranks = average_ranks(df, c).join(F.broadcast(n), F.lit(True)).select(c, (F.col("__n") + 1 - F.col("rank")).alias(f"{c}_rank"))  # one row
+        df = df.join(ranks, c, "left")
+    return df.withColumn("rank_gap", F.col(f"{b}_rank") - F.col(f"{a}_rank"))
+
+
+def group_spread(df: DataFrame, by: str, value: str, few: int = 15) -> DataFrame:
+    """(by, n, sd, small): rows and sample deviation of a value in each group, and whether the group has few rows."""
+    out = df.groupBy(by).agg(F.count("*").alias("n"), F.stddev_samp(value).alias("sd"))
+    return out.withColumn("small", F.col("n") < few)
+
+
+def with_position(df: DataFrame, other: DataFrame, key: str, position: str) -> DataFrame:
+    """Rows with the place that the other table's file order gives them; null where it lacks the key."""
+    return df.join(other.select(key, position), key, "left")
+
+
+def label_codes(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Adds 0-based codes of a column's values in their order."""
+    return df.join(dense_ids(df, [name], out), name)
+
+
+def class_report(df: DataFrame, y: str, guess: str) -> DataFrame:
+    """(class, precision, recall, f1, support) of each class, from one count of pairs; 0 where nothing is there to divide by."""
+    pairs = df.groupBy(F.col(y).alias("y"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("y").alias("class"), F.lit(1).alias("actual")), F.struct(F.col("g").alias("class"), F.lit(0).alias("actual")))).alias("x"), "y", "g", "n").select("x.*", "y", "g", "n")
+    hit = F.when(F.col("y") == F.col("g"), F.col("n")).otherwise(0)
+    sums = sides.groupBy("class").agg(F.sum(hit * F.col("actual")).alias("hits"), F.sum(F.col("n") * F.col("actual")).alias("support"), F.sum(F.col("n") * (1 - F.col("actual"))).alias("guessed"))
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
+    out = sums.withColumns({"precision": ratio(F.col("hits"), F.col("guessed")), "recall": ratio(F.col("hits"), F.col("support"))})
+    f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return out.select("class", "precision", "recall", f1.alias("f1"), "support")

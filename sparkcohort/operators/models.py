@@ -243,6 +243,21 @@ def single_feature_auc(df: DataFrame, features: list[str], target: str = "y", fo
     return df.sparkSession.createDataFrame(rows, "feature string, auc double")
 
 
+def feature_set_auc(df: DataFrame, features: list[str], target: str = "y", fold: str = "fold") -> float:
+    """Mean area over the folds of a logistic model of some features; folds of one class are left out."""
+    scores = [x["auc"] for x in evaluate_folds(df, logistic(features, target), fold_pairs(df, fold), target) if x["auc"] is not None]
+    return float(np.mean(scores)) if scores else float("nan")
+
+
+def output_shift_auc(a: DataFrame, b: DataFrame, p: str, key: str, folds: int = 3) -> float:
+    """How well a logistic model tells two frames apart by a model's own output, out of fold."""
+    both = a.select(key, p).withColumn("y", F.lit(0)).union(b.select(key, p).withColumn("y", F.lit(1)))
+    both = both.withColumnRenamed(p, "__out").withColumn("fold", F.pmod(F.xxhash64(key, "y"), F.lit(folds)).cast("int")).cache()
+    area = auc(out_of_fold(both, logistic(["__out"]), key), "y", "p").first()["auc"]
+    both.unpersist()
+    return area
+
+
 def random_search(df: DataFrame, make: Callable[[dict], Model], space: dict[str, tuple], folds: list, trials: int, seed: int = 42, done: int = 0) -> list[dict]:
     """Trials of seeded random settings, mean score of the folds each; ``done`` trials are skipped, so a search resumes."""
     state, out = np.random.RandomState(seed), []

@@ -1,6 +1,7 @@
 """Grouped validation splits.
 
-Group sizes are aggregated in Spark; the choice of folds is made on the driver
+Groups that share a constraint are merged by distributed components.  Group sizes
+are aggregated in Spark; the choice of folds is made on the driver
 over one number a group, and comes back as a table joined by key.  Groups are
 places or days, so there are few; rows never leave the cluster.
 """
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcohort.functions.ranks import dense_ids
+from sparkcohort.operators.components import connected_components
+from sparkcohort.sources.storage import Workspace, frozen
 
 MAX_GROUPS = 2_000_000
 
@@ -34,24 +37,14 @@ def twin_groups(df: DataFrame, keys: list[str], out: str = "twin_group") -> Data
 
 def merged_groups(df: DataFrame, primary: str, constraint: str, out: str = "merged_group") -> DataFrame:
     """(primary, out): primary groups that share a constraint group, directly or in a chain, as one; ids dense by smallest member."""
-    edges = df.select(primary, constraint).distinct()
-    spanning = edges.groupBy(constraint).agg(F.array_sort(F.collect_set(primary)).alias("g")).filter(F.size("g") > 1).select("g").distinct()
-    parent: dict = {r[0]: r[0] for r in _few(df.select(primary).distinct())}
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for (group,) in _few(spanning):
-        for other in group[1:]:
-            a, b = sorted((find(group[0]), find(other)))
-            parent[b] = a
-    roots = {x: find(x) for x in parent}
-    ids = {r: i for i, r in enumerate(sorted(set(roots.values())))}
-    kind = df.schema[primary].dataType.simpleString()
-    return df.sparkSession.createDataFrame([(x, ids[r]) for x, r in sorted(roots.items())], f"{primary} {kind}, {out} bigint")
+    ids = frozen(dense_ids(df.select(primary).distinct(), [primary], "__id"), "groups")
+    edges = df.select(primary, constraint).distinct().join(ids, primary)
+    hubs = edges.groupBy(constraint).agg(F.min("__id").alias("__hub"))
+    links = edges.join(hubs, constraint).select(F.col("__hub").alias("a"), F.col("__id").alias("b"))
+    roots = connected_components(links, Workspace(df.sparkSession, "components"))
+    named = ids.join(roots, ids["__id"] == roots["node"], "left").withColumn("__root", F.coalesce("root", "__id"))
+    dense = dense_ids(named.select("__root").distinct(), ["__root"], out)
+    return named.join(dense, "__root").select(primary, F.col(out).cast("bigint").alias(out))
 
 
 def _table(df: DataFrame, group: str, rows: list[tuple], names: str) -> DataFrame:

@@ -514,13 +514,12 @@ def fd_check_zone(spark, d):
     return records(spark, d).groupBy("location").agg(F.count_distinct("zone").alias("n_zones"), F.min("zone").alias("zone"), F.count_distinct("segment").alias("n_segments"))
 
 
-@query(f"""WITH RECURSIVE {R}, e AS (SELECT DISTINCT customer % 400 AS p, event_date AS k FROM r WHERE customer % 7 = 0 AND id % 3 = 0),
-  l AS (SELECT DISTINCT a.p AS a, b.p AS b FROM e a JOIN e b ON a.k = b.k),
+@query(f"""WITH RECURSIVE {R}, e AS (SELECT DISTINCT customer AS p, floor(total) AS k FROM r),
+  l AS (SELECT DISTINCT a.p AS a, b.p AS b FROM e a JOIN e b ON a.k = b.k AND a.p <> b.p),
   w AS (SELECT DISTINCT p AS a, p AS b FROM e UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b),
-  m AS (SELECT a AS place, min(b) AS root FROM w GROUP BY a) SELECT place, dense_rank() OVER (ORDER BY root) - 1 AS merged_group FROM m""")
+  m AS (SELECT a AS customer, min(b) AS root FROM w GROUP BY a) SELECT customer, dense_rank() OVER (ORDER BY root) - 1 AS merged_group FROM m""")
 def merged_components(spark, d):
-    df = records(spark, d).filter("customer % 7 = 0 AND id % 3 = 0").withColumn("place", F.col("customer") % 400)
-    return splits.merged_groups(df, "place", "event_date")
+    return splits.merged_groups(records(spark, d).withColumn("dollars", F.floor("total")), "customer", "dollars")
 
 
 @query()

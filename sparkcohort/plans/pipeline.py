@@ -1,7 +1,8 @@
 """The feature plan: learn state once on training records, apply it verbatim to any others.
 
-``fit`` runs the few small jobs that learn state; ``apply`` runs none and is a
-projection with lookups.  The two share every stateless step.
+``fit`` runs the few small jobs that learn state and writes each learned table once;
+``apply`` is a projection with lookups after one check for nulls.  The two share every
+stateless step.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcohort.operators import clustering, encoding, features
-from sparkcohort.sources.contracts import drop_dead_columns
+from sparkcohort.sources.contracts import drop_dead_columns, require_no_nulls
 
 # Columns of the plan.
 DEAD, CATEGORIES = ("hot_days_30d",), ("zone", "gender", "age_band")
@@ -67,6 +68,7 @@ def fit(df: DataFrame, target: str, k: int, extras: tuple[str, ...] = (), oof_fo
     encodings are in-sample, or out of fold where ``oof_fold`` names a fold column.
     """
     extras = _check_extras(extras)
+    require_no_nulls(df, df.columns)
     year = features.reference_year(df)
     clusters = clustering.fit_clusters(df, ["latitude", "longitude"], [c for c in PROFILE if c in df.columns], k)
     out = _head(df, year, clusters, False)
@@ -96,6 +98,7 @@ def fit(df: DataFrame, target: str, k: int, extras: tuple[str, ...] = (), oof_fo
 
 def apply(df: DataFrame, state: FitState, frozen_places: bool = False) -> DataFrame:
     """The same columns for other records, with nothing learned from them."""
+    require_no_nulls(df, [c for c in df.columns if c != state.target])
     out = _head(df, state.reference_year, state.clusters, frozen_places)
     if state.ndvi is not None:
         out = encoding.apply_shrunk(out, state.ndvi, "ndvi_smooth")

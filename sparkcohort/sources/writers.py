@@ -6,7 +6,6 @@ import json
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -37,8 +36,9 @@ def append_run(spark: SparkSession, path: str, model: str, params: dict, metrics
 
 def latest_runs(runs: DataFrame, key: str = "model", started: str = "started", tie: str | None = None) -> DataFrame:
     """The newest run of each model."""
-    order = [F.col(started).desc()] + ([F.col(tie).desc()] if tie else [])
-    return runs.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
+    newest = F.struct(*([started] + ([tie] if tie else [])))
+    last = runs.groupBy(key).agg(F.max_by(F.struct(*runs.columns), newest).alias("last"))  # combined before the shuffle
+    return last.select("last.*")
 
 
 def run_report(runs: DataFrame, metric: str) -> DataFrame:
@@ -53,7 +53,8 @@ def append_trials(df: DataFrame, path: str) -> None:
 def next_trial(spark: SparkSession, path: str) -> int:
     """Where a search goes on: one past the largest trial number."""
     try:
-        return (spark.read.parquet(path).agg(F.max("trial")).first()[0] or -1) + 1
+        last = spark.read.parquet(path).agg(F.max("trial")).first()[0]
+        return 0 if last is None else last + 1
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return 0
@@ -65,6 +66,10 @@ def write_oof(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def read_oof(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def markdown_table(rows: list[dict]) -> str:
     """A table of a fixed, small registry."""
     if not rows:
