@@ -20,7 +20,7 @@ from sparkcohort.sources.storage import Workspace
 # files -----------------------------------------------------------------------------------------------------------
 
 _ID = "'ID_' || lpad(upper(to_hex(id)), 8, '0')"
-T = f"""t AS (SELECT id, {_ID} AS "ID", zone, CASE WHEN id % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender, event_date + INTERVAL 4000 DAY AS deathdate,
+T = f"""t AS (SELECT id AS num, {_ID} AS "ID", zone, CASE WHEN id % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender, event_date + INTERVAL 4000 DAY AS deathdate,
   CAST(id % 90 AS DOUBLE) AS age, CAST(20 + id % 5 AS DOUBLE) AS avg_temperature, CAST(25 + id % 5 AS DOUBLE) AS max_temperature,
   CAST(15 + id % 5 AS DOUBLE) AS min_temperature, CAST(id % 7 AS DOUBLE) AS precipitation, longitude AS latitude, 30.0 + longitude AS longitude, location,
   y AS is_climate_sensitive, split FROM r)"""
@@ -78,8 +78,8 @@ def load_test(spark, d):
     return _load(spark, _folder(spark, d), "Test.csv")
 
 
-@query(f"""WITH {R}, {T} SELECT "ID", CAST(deathdate AS DATE) AS deathdate, CAST(id % 7 AS DOUBLE) AS rain_sum_7d, CAST(id % 7 + 20 AS DOUBLE) AS rain_sum_90d, CAST(id % 30 AS INTEGER) AS rain_days_30d,
-  CAST(24 + id % 3 AS DOUBLE) AS tavg_30d, CAST(id % 10 AS DOUBLE) / 10 AS ndvi_30d, CAST(1100 + id % 100 AS DOUBLE) AS elevation FROM t""")
+@query(f"""WITH {R}, {T} SELECT "ID", CAST(deathdate AS DATE) AS deathdate, CAST(num % 7 AS DOUBLE) AS rain_sum_7d, CAST(num % 7 + 20 AS DOUBLE) AS rain_sum_90d, CAST(num % 30 AS INTEGER) AS rain_days_30d,
+  CAST(24 + num % 3 AS DOUBLE) AS tavg_30d, CAST(num % 10 AS DOUBLE) / 10 AS ndvi_30d, CAST(1100 + num % 100 AS DOUBLE) AS elevation FROM t""")
 def load_climate(spark, d):
     return _load(spark, _folder(spark, d), "climate_features.csv").select("ID", "deathdate", "rain_sum_7d", "rain_sum_90d", "rain_days_30d", "tavg_30d", "ndvi_30d", "elevation")
 
@@ -101,7 +101,7 @@ def load_all_counts(spark, d):
     return out
 
 
-@query(f"""WITH {R}, {T} SELECT {_CORE}, is_climate_sensitive, CAST(id % 7 AS DOUBLE) AS rain_sum_7d, CAST(id % 10 AS DOUBLE) / 10 AS ndvi_30d FROM t WHERE split = 'train'""")
+@query(f"""WITH {R}, {T} SELECT {_CORE}, is_climate_sensitive, CAST(num % 7 AS DOUBLE) AS rain_sum_7d, CAST(num % 10 AS DOUBLE) / 10 AS ndvi_30d FROM t WHERE split = 'train'""")
 def load_train_full(spark, d):
     out = readers.load_full(spark, _folder(spark, d))
     return out.select(*(c for c in out.columns if c in readers.RECORD_TYPES or c == readers.TARGET), "rain_sum_7d", "ndvi_30d")
