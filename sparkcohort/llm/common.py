@@ -1,21 +1,19 @@
 """Shared pieces of the training-data operators.
 
-``Workspace`` cuts lineage by writing Parquet tables to the folder that the
+Lineage is cut by the core's ``Workspace``: Parquet tables in the folder that the
 cluster shares (``spark.checkpoint.dir``), so a lost executor only costs the
-tasks it ran.  Word and window rules that several operators share are here too.
+tasks it ran.  Word and window rules that several operators share are here.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkcohort.sources.storage import Workspace, shared_dir  # noqa: F401  used by the operators
+
 #: ASCII white space; every run of other characters is a word.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -24,42 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only for a local master."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if "SPARKCOHORT_TMP" not in os.environ:
-        os.environ["SPARKCOHORT_TMP"] = tempfile.mkdtemp(prefix="sparkcohort-")
-    return "file://" + os.environ["SPARKCOHORT_TMP"]
-
-
-class Workspace:
-    """Tables of one operator call, below one folder of the shared storage."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as a scan of what was written."""
-        df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
