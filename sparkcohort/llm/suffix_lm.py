@@ -1,254 +1,313 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Symbols are lower-cased words and an end of text.  The root holds the counts of
-all words, however rare: that table grows with the corpus and is never gathered
-in one place.  Deeper states follow the usual learner: a context is a candidate
-when its relative frequency is at least ``context_min``, and is retained when
-its next-symbol distribution differs from its parent's by a likelihood-ratio
-(divergence) test.  A state has explicit probabilities for next symbols whose
-pair with the context has a relative frequency of ``next_min`` or more (absolute
-discount); the rest backs off to the longest retained proper suffix.
-
-Relative frequencies add up to one, so there are at most 1/context_min
-candidates a depth and 1/next_min explicit entries; that part of the model is
-broadcast.  Words rarer than ``next_min`` are never explicit anywhere, so their
-root probability is joined on in a shuffle of only such words.
+all words, however rare.  Deeper states follow the usual learner: a context that
+occurs ``min_context`` times is a candidate, its next symbols are those seen with it
+``min_next`` times, and it is retained when their distribution differs from that in
+its longest proper suffix by a likelihood-ratio (divergence) test.  A retained state
+discounts its next symbols; what it does not have backs off to its longest retained
+proper suffix.  Depths are added until one retains no state.  Both bounds are counts,
+so the tree grows with the corpus; no table of it is gathered in one place.
+
+A run of L + 1 symbols has a hash made of those of its first and its last L symbols:
+its context, and the entry that it backs off to.  So every table of a depth is keyed
+by hashes of the depth before, and joins are plain.
+
+The score of a text is a sum over its runs: of root probabilities, of the back-off
+of each retained context, and of what each entry is above its back-off.  Runs are
+looked up in three ways: those with over ``heavy_share`` of all symbols are few
+whatever the input (at most 1/``heavy_share`` a depth) and are sent out; a bitmap of
+fixed size tells most of what the tree does not have; the rest meets the tree's
+table in a join, a row for each text and run.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcohort.llm.common import Workspace, text_bytes, text_slices
 
 END = b""
-SHIFT = 20
-FLUSH_WORDS, FLUSH_CODES = 300_000, 3_000_000
+MIN_CONTEXT, MIN_NEXT = 64, 4
+HEAVY_SHARE, DISCOUNT = 4e-6, 0.5
+BITMAP_BITS = 25
+FLUSH = 3_000_000
+#: Tells a context's key from that of the entry with the same symbols.
+CONTEXT = 0x5851F42D4C957F2D
+TINY = 1e-12
 
 
-def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all symbols of some texts, and the number of symbols of each text."""
-    digest, out, sizes = xxhash.xxh3_64_intdigest, [], []
-    for text in texts:
-        words = text.lower().split()
-        words.append(END)
-        sizes.append(len(words))
-        out.extend(map(digest, words))
-    return np.array(out, dtype=np.uint64).view(np.int64), np.array(sizes, dtype=np.int64)
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a run from the hashes of the runs without its last and without its first symbol (uint64)."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
-def _counts(items) -> pa.RecordBatch:
-    keys, counts = items
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["h", "c"])
+def _symbol_batches(batches):
+    """Hashes of the symbols of each text."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        for part in text_slices(batch, 1):
+            found, ends = [], [0]
+            for text in part.column(1).to_pylist():
+                found.extend(map(digest, text.lower().split()))  # bytes.lower() changes A-Z only
+                found.append(digest(END))
+                ends.append(len(found))
+            symbols = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), symbols)], ["row", "symbols"])
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of some texts (uint64), and the place of each in its text."""
+    symbols = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    edges = column.offsets.to_numpy()
+    sizes = np.diff(edges)
+    return symbols, np.arange(len(symbols)) - np.repeat(edges[:-1] - edges[0], sizes)
 
 
-def _count_words(batches):
-    seen: Counter = Counter()
+def _count_symbols(batches):
+    held, n = [], 0
 
     def flush():
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen), dtype=np.uint64, count=len(seen)).view(np.int64)
-        return _counts((keys, np.fromiter(seen.values(), dtype=np.int64, count=len(seen))))
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(text.lower().split())
-            seen[END] += 1
-            if len(seen) > FLUSH_WORDS:
-                yield flush()
-                seen = Counter()
-    if seen:
+        held.append(_flat(batch.column(0))[0])
+        n += len(held[-1])
+        if n > FLUSH:
+            yield flush()
+            held, n = [], 0
+    if n:
         yield flush()
 
 
-def _find(codes: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Place of each value in sorted codes, -1 where absent."""
-    if not len(codes):
-        return np.full(len(values), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(codes, values), len(codes) - 1)
-    return np.where(codes[at] == values, at, -1)
-
-
-def _contexts(model: dict, symbols: np.ndarray, sizes: np.ndarray):
-    """Frequent-word index of each symbol, and for each depth the candidate context before it (-1: none)."""
-    word = _find(model["words"], symbols)
-    first = np.zeros(len(symbols), dtype=bool)
-    first[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True
-    levels, before = [], None
-    for d, codes in enumerate(model["codes"]):
-        if d == 0:
-            full = _find(codes, word)
-        else:
-            full = np.where((before >= 0) & (word >= 0), _find(codes, (before << SHIFT) + word), -1)
-        now = np.concatenate(([-1], full[:-1]))
-        now[first] = -1
-        levels.append(now)
-        before = now
-    return word, levels
-
-
-def _count_next(batches, model):
-    """Counts of (context of the deepest level, frequent next word)."""
-    held, n = [], 0
+class Bitmap:
+    """A set of hashes by their leading bits: never misses one it has, and has a fixed size."""
+
+    def __init__(self, hashes: DataFrame, name: str):
+        place = F.shiftrightunsigned(F.col(name), 64 - BITMAP_BITS)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+        words = hashes.select(F.shiftrightunsigned(place, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        self.bits = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+        self.bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - BITMAP_BITS)
+        return (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _runs(symbols: np.ndarray, places: np.ndarray, most: int):
+    """For each depth from 1 on: (at, context, lower, whole) of the runs of depth + 1 symbols; ``at`` is the last one's index."""
+    run = symbols
+    for depth in range(1, most + 1):
+        at = np.flatnonzero(places >= depth)
+        context, lower = run[at - 1], run[at]
+        whole = mix(context, lower)
+        yield at, context, lower, whole
+        run = np.zeros_like(symbols)
+        run[at] = whole
+
+
+def _count_runs(batches, depth: int, gates):
+    """Counts of (context, lower) whose context and lower run the tree's last depth may have."""
+    contexts, lowers = gates.value
+    held: list = []
+    n = 0
+
+    def flush():
+        context, lower = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((lower, context))
+        context, lower = context[order], lower[order]
+        first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (lower[1:] != lower[:-1]))))
+        counts = np.diff(np.append(first, len(context)))
+        arrays = [pa.array(context[first].view(np.int64)), pa.array(lower[first].view(np.int64)), pa.array(counts.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, ["c", "lo", "n"])
+
     for batch in batches:
-        for part in text_slices(batch, 0):
-            word, levels = _contexts(model.value, *_symbols(part.column(0).to_pylist()))
-            ok = (levels[-1] >= 0) & (word >= 0)
-            held.append((levels[-1][ok] << SHIFT) + word[ok])
-            n += len(held[-1])
-            if n > FLUSH_CODES:
-                yield _counts(np.unique(np.concatenate(held), return_counts=True))
-                held, n = [], 0
+        for _, context, lower, _ in list(_runs(*_flat(batch.column(0)), depth))[depth - 1 :]:
+            ok = contexts.has(context)
+            ok[ok] = lowers.has(lower[ok])
+            held.append((context[ok], lower[ok]))
+            n += int(ok.sum())
+        if n > FLUSH:
+            yield flush()
+            held, n = [], 0
     if n:
-        yield _counts(np.unique(np.concatenate(held), return_counts=True))
+        yield flush()
 
 
-def _score(batches, model):
-    m = model.value
+def _hash_batches(batches):
+    """Adds h to rows that begin with c and lo."""
     for batch in batches:
-        for part in text_slices(batch, 1):
-            symbols, sizes = _symbols(part.column(1).to_pylist())
-            word, levels = _contexts(m, symbols, sizes)
-            known = word >= 0
-            root = np.where(known, m["root"][np.maximum(word, 0)] if len(m["root"]) else 0.0, 0.0)
-            logp = root
-            for level, state in zip(levels, m["states"], strict=True):
-                kept = (level >= 0) & (state["kept"][np.maximum(level, 0)] if len(state["kept"]) else False)
-                at = np.where(kept & known, _find(state["next"], (level << SHIFT) + word), -1)
-                if len(state["kept"]):
-                    logp = np.where(kept, state["backoff"][np.maximum(level, 0)] + logp, logp)
-                if len(state["next"]):
-                    logp = np.where(at >= 0, state["logp"][np.maximum(at, 0)], logp)
-            edges = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            tails, offsets = [], [0]
-            for lo, n in zip(edges.tolist(), sizes.tolist(), strict=True):
-                rare = symbols[lo : lo + n][~known[lo : lo + n]]
-                tails.append(np.unique(rare, return_counts=True))
-                offsets.append(offsets[-1] + len(tails[-1][0]))
-            pairs = pa.StructArray.from_arrays(
-                [pa.array(np.concatenate([t[0] for t in tails])), pa.array(np.concatenate([t[1] for t in tails]).astype(np.int64))], ["h", "tf"]
-            )
-            arrays = [part.column(0), pa.array(sizes), pa.array(np.add.reduceat(known.astype(np.int64), edges))]
-            arrays += [pa.array(np.add.reduceat(root, edges)), pa.array(np.add.reduceat(logp, edges)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "n_tokens", "n_heavy", "base_part", "score_part", "tail"])
+        c, lo = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mix(c, lo).view(np.int64))], [*batch.schema.names, "h"])
 
 
 def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded table of (h, c), by h."""
-    rows = df.toArrow()
-    h, c = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    """A bounded table of (hash, value), by hash."""
+    got = df.toArrow()
+    h, v = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
     order = np.argsort(h)
-    return h[order], c[order]
-
+    return h[order], v[order]
 
-def _state(keys, counts, n_context, parent, discount: float) -> dict:
-    """One depth: which contexts are retained, their explicit next symbols and back-off weights.
 
-    ``parent`` gives for each entry its probability in the longest retained
-    proper suffix (smoothed) and in the plain parent (for the test).
-    """
-    context = keys >> SHIFT
-    smoothed, plain = parent
-    size = len(n_context)
-    p = counts / n_context[context]
-    total, below = (np.bincount(context, weights=x, minlength=size) for x in (p, np.minimum(plain, 1.0)))
-    k = np.bincount(context, minlength=size)
-    kl = np.bincount(context, weights=p * np.log(p / plain), minlength=size)
-    rest, rest_below = np.maximum(1 - total, 1e-12), np.maximum(1 - below, 1e-12)
-    kl += rest * np.log(rest / rest_below)
-    kept = (k > 0) & (2 * n_context * kl > k + 4 * np.sqrt(2 * k))
-    q = (counts - discount) / n_context[context]
-    mass, mass_below = (np.bincount(context, weights=x, minlength=size) for x in (q, smoothed))
-    backoff = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - mass_below, 1e-12))
-    mine = kept[context]
-    return {"kept": kept, "backoff": backoff, "next": keys[mine], "logp": np.log10(q[mine])}
+def _find(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash in sorted keys, -1 where absent."""
+    if not len(keys):
+        return np.full(len(hashes), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, at, -1)
 
 
 class SuffixTreeModel:
-    """The broadcast part of the tree, its totals, and the table of root counts."""
+    """The root's table of words, the table of what contexts and entries add, and what is sent out of both."""
+
+    def __init__(self, words: DataFrame, values: DataFrame, depth: int, tokens: int, types: int, heavy_share: float):
+        self.words, self.values, self.depth, self.tokens, self.types = words, values, depth, tokens, types
+        least = max(heavy_share * tokens, 1)
+        known, counts = _sorted(words.filter(F.col("n") >= least).select("h", "n"))
+        keys, added = _sorted(values.filter(F.col("n") >= least).select("h", "v"))
+        rest = Bitmap(values.filter(F.col("n") < least), "h")
+        self.sent = {"words": known, "root": np.log10((counts + 1) / (tokens + types + 1)), "keys": keys, "values": added, "rest": rest, "depth": depth}
 
-    def __init__(self, arrays: dict, tokens: int, types: int, words: DataFrame):
-        self.arrays, self.tokens, self.types, self.words = arrays, tokens, types, words
 
+def _depth(counted: DataFrame, below: DataFrame, min_context: int) -> tuple[DataFrame, DataFrame]:
+    """(entries, states) of one depth, from counts (c, lo, n) and the table (h, n, plain, smooth) of the depth before.
 
-def fit(texts: DataFrame, ws: Workspace, depth: int = 2, context_min: float = 2e-5, next_min: float = 1e-6, discount: float = 0.5) -> SuffixTreeModel:
-    """Learn from ``texts`` (one binary column t); every text counts."""
-    if next_min < 2.0**-SHIFT or context_min < next_min:
-        raise ValueError("next_min must be at least 2**-20 and no larger than context_min")
-    spark = texts.sparkSession
-    counted = texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    ``plain`` is an entry's relative frequency in its context, ``smooth`` its probability by the tree so far.
+    """
+    contexts = below.filter(F.col("n") >= min_context).select(F.col("h").alias("c"), F.col("n").alias("nc"))
+    lower = below.select(F.col("h").alias("lo"), F.col("plain").alias("below"), F.col("smooth").alias("low"))
+    entries = counted.join(contexts, "c").join(lower, "lo")
+    entries = entries.select("c", "lo", "n", "nc", "below", "low", (F.col("n") / F.col("nc")).alias("p"), ((F.col("n") - DISCOUNT) / F.col("nc")).alias("q"))
+    left = lambda total: F.greatest(F.lit(1.0) - total, F.lit(TINY))
+    sums = entries.groupBy("c").agg(
+        F.max("nc").alias("nc"), F.count("*").alias("k"), F.sum("p").alias("p"), F.sum(F.least("below", F.lit(1.0))).alias("below"),
+        F.sum(F.col("p") * F.log(F.col("p") / F.col("below"))).alias("kl"), F.sum("q").alias("q"), F.sum("low").alias("low"),
+    )
+    kl = F.col("kl") + left(F.col("p")) * F.log(left(F.col("p")) / left(F.col("below")))
+    states = sums.filter(2 * F.col("nc") * kl > F.col("k") + 4 * F.sqrt(2 * F.col("k")))
+    return entries, states.select("c", "nc", F.log10(left(F.col("q")) / left(F.col("low"))).alias("backoff"))
+
+
+def fit(symbols: DataFrame, ws: Workspace, min_context: int = MIN_CONTEXT, min_next: int = MIN_NEXT, heavy_share: float = HEAVY_SHARE, max_depth: int | None = None) -> SuffixTreeModel:
+    """Learn from ``symbols`` (one column of arrays of hashes); every text counts.  ``max_depth`` None: as deep as states are retained."""
+    spark = symbols.sparkSession
+    counted = symbols.mapInArrow(_count_symbols, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     words = ws.save(counted, "words")
-    tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    heavy, counts = _sorted(words.filter(F.col("c") >= max(next_min * tokens, 1)))
-    root = (counts + 1) / (tokens + types + 1)
-    model = {"words": heavy, "codes": [], "states": [], "root": np.log10(root) if len(root) else np.zeros(0)}
-    # depth 1: the contexts are frequent words, their code the word's index
-    codes, n_context = np.flatnonzero(counts >= context_min * max(tokens, 1)).astype(np.int64), None
-    if len(heavy):
-        codes = codes[heavy[codes] != np.uint64(xxhash.xxh3_64_intdigest(END)).astype(np.int64)]
-        n_context = counts[codes]
-    keys_before = plain_before = smooth_before = up = None
-    for d in range(depth):
-        if not len(codes):
+    tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tokens = int(tokens)
+    end = F.lit(int(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64)))
+    plain, smooth = F.col("n") / F.lit(float(max(tokens, 1))), (F.col("n") + 1) / F.lit(float(tokens + types + 1))
+    table = words.filter(F.col("n") >= min_next).select("h", "n", plain.alias("plain"), smooth.alias("smooth"))
+    values, depth = [spark.createDataFrame([], "h long, n long, v double")], 0
+    for d in count(1):
+        candidates = table.filter(F.col("n") >= min_context)
+        if d == 1:
+            candidates = candidates.filter(F.col("h") != end)
+        if (max_depth is not None and d > max_depth) or not candidates.limit(1).count():
+            break
+        gates = spark.sparkContext.broadcast((Bitmap(candidates, "h"), Bitmap(table, "h")))
+        found = symbols.mapInArrow(partial(_count_runs, depth=d, gates=gates), "c long, lo long, n long").groupBy("c", "lo").agg(F.sum("n").alias("n"))
+        found = ws.save(found.filter(F.col("n") >= min_next), f"counts{d}")
+        gates.unpersist()
+        entries, states = _depth(found, table, min_context)
+        entries = entries.select("c", "lo", "n", "nc", "low", "p", "q")
+        entries = ws.save(entries.mapInArrow(_hash_batches, "c long, lo long, n long, nc long, low double, p double, q double, h long"), f"entries{d}")
+        states = ws.save(states, f"states{d}")
+        if not states.limit(1).count():
             break
-        model["codes"].append(codes)
-        shared = spark.sparkContext.broadcast({k: model[k] for k in ("words", "codes")})
-        nexts = texts.mapInArrow(partial(_count_next, model=shared), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-        keys, n = _sorted(nexts.filter(F.col("c") >= max(next_min * tokens, 2)))
-        shared.unpersist()
-        symbol = keys & ((1 << SHIFT) - 1)
-        if d == 0:
-            up = np.full(len(codes), -1, dtype=np.int64)
-            plain, smoothed = counts[symbol] / tokens, root[symbol]
-        else:
-            # the parent of (a, b) is b: entries of the level above with the same next symbol
-            last = codes & ((1 << SHIFT) - 1)
-            up = _find(model["codes"][d - 1], last if d == 1 else (up[codes >> SHIFT] << SHIFT) + last)
-            at = np.where(up[keys >> SHIFT] >= 0, _find(keys_before, (up[keys >> SHIFT] << SHIFT) + symbol), -1)
-            plain = np.where(at >= 0, plain_before[np.maximum(at, 0)], counts[symbol] / tokens)
-            smoothed = np.where(at >= 0, smooth_before[np.maximum(at, 0)], root[symbol])
-        state = _state(keys, n, n_context, (smoothed, plain), discount)
-        model["states"].append(state)
-        keys_before, plain_before = keys, n / n_context[keys >> SHIFT]
-        smooth_before = np.where(state["kept"][keys >> SHIFT], (n - discount) / n_context[keys >> SHIFT], smoothed)
-        deeper = (n >= context_min * tokens) & (heavy[symbol] != np.uint64(xxhash.xxh3_64_intdigest(END)).astype(np.int64))
-        codes, n_context = keys[deeper], n[deeper]
-    return SuffixTreeModel(model, int(tokens), int(types), words)
-
-
-def score(docs: DataFrame, model: SuffixTreeModel, ws: Workspace) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for rows (doc_id, held_out, t)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.arrays)
-    rows = docs.withColumn("row", F.struct(F.monotonically_increasing_id().alias("i"), "doc_id", "held_out"))
-    kind = "row struct<i: long, doc_id: long, held_out: boolean>, n_tokens long, n_heavy long, base_part double, score_part double, tail array<struct<h: long, tf: long>>"
-    made = ws.save(rows.select("row", "t").mapInArrow(partial(_score, model=shared), kind), "scored")
+        depth = d
+        joined = entries.join(states.select("c", "backoff"), "c", "left")
+        key = F.col("c").bitwiseXOR(F.lit(int(CONTEXT)))
+        own = joined.filter("backoff IS NOT NULL").select("h", "n", (F.log10("q") - F.col("backoff") - F.log10("low")).alias("v"))
+        values += [ws.save(states.select(key.alias("h"), F.col("nc").alias("n"), F.col("backoff").alias("v")).union(own), f"values{d}")]
+        table = joined.select("h", "n", F.col("p").alias("plain"), F.when(F.col("backoff").isNull(), F.col("low")).otherwise(F.col("q")).alias("smooth"))
+        table = ws.save(table, f"table{d}")
+    every = values[0]
+    for one in values[1:]:
+        every = every.union(one)
+    return SuffixTreeModel(words, every, depth, tokens, int(types), heavy_share)
+
+
+def _score(batches, model):
+    m = model.value
+    for batch in batches:
+        symbols, places = _flat(batch.column(1))
+        starts = np.flatnonzero(places == 0)
+        at = _find(m["words"], symbols)
+        known = at >= 0
+        base = np.where(known, m["root"][np.maximum(at, 0)] if len(m["root"]) else 0.0, 0.0)
+        added = np.zeros(len(symbols))
+        rare = [(np.flatnonzero(~known), symbols[~known], True)]
+        for ends, context, _, whole in _runs(symbols, places, m["depth"]):
+            for hashes in (context ^ np.uint64(CONTEXT), whole):
+                at = _find(m["keys"], hashes)
+                sent = at >= 0
+                if len(m["keys"]):
+                    added[ends] += np.where(sent, m["values"][np.maximum(at, 0)], 0.0)
+                other = np.flatnonzero(~sent)
+                other = other[m["rest"].has(hashes[other])]
+                rare.append((ends[other], hashes[other], False))
+        where, hashes = np.concatenate([x[0] for x in rare]), np.concatenate([x[1] for x in rare])
+        is_word = np.concatenate([np.full(len(x[0]), x[2]) for x in rare])
+        text = np.searchsorted(starts, where, side="right") - 1
+        order = np.lexsort((hashes, is_word, text))
+        text, hashes, is_word = text[order], hashes[order], is_word[order]
+        new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]) | (is_word[1:] != is_word[:-1])))) if len(text) else np.zeros(0, dtype=np.int64)
+        times = np.diff(np.append(new, len(text)))
+        edges = np.searchsorted(text[new], np.arange(len(starts) + 1))
+        tails = pa.StructArray.from_arrays([pa.array(hashes[new].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(is_word[new])], ["h", "tf", "is_word"])
+        sums = lambda x: pa.array(np.add.reduceat(x, starts) if len(starts) else x[:0])
+        sizes = np.diff(np.append(starts, len(symbols)))
+        arrays = [batch.column(0), pa.array(sizes.astype(np.int64)), sums(known.astype(np.int64)), sums(base), sums(added), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), tails)]
+        yield pa.RecordBatch.from_arrays(arrays, ["row", "n_tokens", "n_sent", "base", "added", "tail"])
+
+
+ROW = "struct<i: long, doc_id: long, held_out: boolean>"
+
+
+def score(symbols: DataFrame, model: SuffixTreeModel, ws: Workspace) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for rows (row, symbols)."""
+    shared = symbols.sparkSession.sparkContext.broadcast(model.sent)
+    kind = f"row {ROW}, n_tokens long, n_sent long, base double, added double, tail array<struct<h: long, tf: long, is_word: boolean>>"
+    made = ws.save(symbols.mapInArrow(partial(_score, model=shared), kind), "scored")
     shared.unpersist()
-    tails = made.select(F.col("row.i").alias("i"), F.explode("tail").alias("x")).select("i", "x.h", "x.tf")
-    met = tails.join(model.words, "h", "left")
-    below = float(model.tokens + model.types + 1)
+    tails = made.select(F.col("row.i").alias("i"), F.explode("tail").alias("x")).select("i", "x.*")
+    none = F.lit(None)
+    table = model.words.select("h", F.lit(True).alias("is_word"), "n", none.cast("double").alias("v"))
+    table = table.union(model.values.select("h", F.lit(False), none.cast("long"), "v"))
+    met = tails.join(table, ["h", "is_word"], "left")
+    unseen = float(model.tokens + model.types + 1)
+    word: Column = F.when(F.col("is_word"), F.col("tf"))
     met = met.groupBy("i").agg(
-        F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(below))).alias("term"),
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("met"),
+        F.sum(word * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(unseen))).alias("rare"),
+        F.sum(F.when(F.col("n") > 0, word).otherwise(0)).alias("met"),
+        F.sum(F.when(~F.col("is_word"), F.col("tf") * F.coalesce("v", F.lit(0.0)))).alias("more"),
     )
-    term, base = F.coalesce("term", F.lit(0.0)), made.select("row.*", "n_tokens", "n_heavy", "base_part", "score_part")
-    return base.join(met, "i", "left").select(
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return made.select("row.*", "n_tokens", "n_sent", "base", "added").join(met, "i", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_heavy") + F.coalesce("met", F.lit(0))).alias("n_known"),
+        (F.col("n_sent") + F.coalesce("met", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_part") + term).alias("base_score"),
-        (F.col("score_part") + term).alias("score"),
+        (F.col("base") + zero("rare")).alias("base_score"),
+        (F.col("base") + zero("rare") + F.col("added") + zero("more")).alias("score"),
     )
 
 
-def lm_scores(docs: DataFrame, depth: int = 2, context_min: float = 2e-5, next_min: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, min_context: int = MIN_CONTEXT, min_next: int = MIN_NEXT, heavy_share: float = HEAVY_SHARE, max_depth: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every row, from a tree learned on rows whose crc32(doc_id as text) mod 7 is not 2.
 
     A null or empty text is its end symbol alone.  A row with a null doc_id is a
@@ -256,8 +315,11 @@ def lm_scores(docs: DataFrame, depth: int = 2, context_min: float = 2e-5, next_m
     score.  With no training row nothing is known: N = V = 0.  Other columns of
     ``docs`` are ignored.
     """
+    if min_context < min_next or min_next < 1:
+        raise ValueError("min_context must be at least min_next, and that at least 1")
     ws = Workspace(docs.sparkSession, "suffix_lm")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), text_bytes(text_col).alias("t"))
-    model = fit(rows.filter(~F.col("held_out")).select("t"), ws, depth, context_min, next_min)
-    return score(rows, model, ws)
+    row = F.struct(F.monotonically_increasing_id().alias("i"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"))
+    symbols = ws.save(docs.select(row.alias("row"), text_bytes(text_col).alias("t")).mapInArrow(_symbol_batches, f"row {ROW}, symbols array<long>"), "symbols")
+    model = fit(symbols.filter("NOT row.held_out").select("symbols"), ws, min_context, min_next, heavy_share, max_depth)
+    return score(symbols, model, ws)

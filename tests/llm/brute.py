@@ -148,6 +148,56 @@ def lm_base(rows):
     return [(d, held(d), len(tk), sum(seen[x] > 0 for x in tk), n, sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in tk)) for (d, _), tk in zip(rows, tokens, strict=True)]
 
 
+def suffix_tree(rows, min_context, min_next, discount=0.5):
+    """Scores by a plain suffix tree, and the sum of each retained state's distribution."""
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = [(t or "").encode().lower().split() + [None] for _, t in rows]
+    train = [tk for (d, _), tk in zip(rows, tokens, strict=True) if not held(d)]
+    words = collections.Counter(w for tk in train for w in tk)
+    n, v = sum(words.values()), len(words)
+    root = lambda w: (words[w] + 1) / (n + v + 1)
+    states = {}
+
+    def p(context, w):
+        while context:
+            if context in states:
+                q, backoff = states[context]
+                return q[w] if w in q else backoff * p(context[1:], w)
+            context = context[1:]
+        return root(w)
+
+    plain = {(): {w: c / n for w, c in words.items()}}
+    depth = 0
+    while True:
+        depth += 1
+        counts = collections.Counter(tuple(tk[i - depth : i + 1]) for tk in train for i in range(depth, len(tk)))
+        total = collections.Counter()
+        for run, c in counts.items():
+            total[run[:-1]] += c
+        kept = {}
+        for context in [c for c, k in total.items() if k >= min_context]:
+            if depth > 1 and context[1:] not in plain:
+                continue
+            nc = total[context]
+            near = {run[-1]: c for run, c in counts.items() if run[:-1] == context and c >= min_next}
+            if not near:
+                continue
+            below = plain[context[1:]]
+            plain[context] = {w: c / nc for w, c in near.items()}
+            share, other = sum(near.values()) / nc, min(1.0, sum(below[w] for w in near))
+            rest, rest_below = max(1 - share, 1e-12), max(1 - other, 1e-12)
+            kl = sum(c / nc * math.log(c / nc / below[w]) for w, c in near.items()) + rest * math.log(rest / rest_below)
+            if 2 * nc * kl > len(near) + 4 * math.sqrt(2 * len(near)):
+                q = {w: (c - discount) / nc for w, c in near.items()}
+                kept[context] = (q, max(1 - sum(q.values()), 1e-12) / max(1 - sum(p(context[1:], w) for w in near), 1e-12))
+        if not kept:
+            break
+        states |= kept
+    sums = {(len(c), c): sum(p(c, w) for w in words) + math.prod(states[c[i:]][1] for i in range(len(c)) if c[i:] in states) / (n + v + 1) for c in states}
+    scores = [(d, len(tk), sum(math.log10(p(tuple(tk[max(0, i - depth) : i]), w)) for i, w in enumerate(tk))) for (d, _), tk in zip(rows, tokens, strict=True)]
+    return {"scores": scores, "states": sums}
+
+
 def edit_distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

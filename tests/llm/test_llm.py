@@ -711,11 +711,28 @@ def test_lm_base(docs, empty):
     assert lm_scores(empty).count() == 0
 
 
-def test_lm_rare_words_meet_the_table(docs):
+@pytest.mark.parametrize("heavy_share", [1e-6, 0.01, 1.0])
+def test_lm_matches_its_plain_version(spark, heavy_share):
+    """What is sent out and what is joined must not matter; nulls, repeats and rare words are among the rows."""
     from sparkcohort.llm.suffix_lm import lm_scores
 
-    got = lm_scores(docs, next_min=0.01, context_min=0.02).collect()
-    same([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got], brute.lm_base(ROWS), 6)
+    r = random.Random(4)
+    step = {("a", "b"): "c", ("b", "c"): "a", ("c", "a"): "b", ("a", "a"): "b"}
+    rows = []
+    for i in range(150):
+        w = [r.choice("abc"), r.choice("abc")]
+        while len(w) < 40:
+            w.append(step.get((w[-2], w[-1]), r.choice("abc")) if r.random() < 0.8 else r.choice(["a", "b", "c", f"rare{r.randint(0, 60)}"]))
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, text(20, i % 3)) for i in range(30)] + [(900, None), (901, ""), (None, "a b c"), (7, "a B c\n")]
+    want = brute.suffix_tree(rows, min_context=20, min_next=3)
+    assert {d for d, _ in want["states"]} >= {1, 2}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = lm_scores(df, min_context=20, min_next=3, heavy_share=heavy_share).collect()
+    same([(x.doc_id, x.n_tokens, x.score) for x in got], want["scores"], 6)
+    # each state's probabilities add up, what was never seen included
+    for state, total in want["states"].items():
+        assert total == pytest.approx(1, abs=1e-9), state
 
 
 def test_lm_learns_contexts(spark):
@@ -732,47 +749,10 @@ def test_lm_learns_contexts(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     held = [x for x in lm_scores(df).collect() if x.held_out]
     assert sum(x.score for x in held) > 0.7 * sum(x.base_score for x in held)
-    one = [x for x in lm_scores(df, depth=1).collect() if x.held_out]
+    one = [x for x in lm_scores(df, max_depth=1).collect() if x.held_out]
     assert sum(x.score for x in held) > sum(x.score for x in one)
 
 
-def test_lm_distributions_add_up(spark):
-    from sparkcohort.llm import suffix_lm
-    from sparkcohort.llm.common import Workspace
-
-    rows = [(text(80, i % 7) + " " + text(20, i),) for i in range(60)]
-    df = spark.createDataFrame(rows, "t string").select(F.col("t").cast("binary").alias("t"))
-    m = suffix_lm.fit(df, Workspace(spark, "t"), depth=2, context_min=0.002, next_min=1e-4)
-    words = m.arrays["words"]
-    seen = {w for t, in rows for w in t.encode().split()}
-    assert len(words) == len(seen) + 1
-    root = (m.arrays["root"])
-    kept = [(d, i) for d, s in enumerate(m.arrays["states"]) for i in np.flatnonzero(s["kept"]).tolist()]
-    assert kept
-
-    def logp(d, i):
-        """log10 of all next words in context i of depth d, by the scoring rule."""
-        if d < 0:
-            return root
-        s, code = m.arrays["states"][d], m.arrays["codes"][d][i]
-        last = code & ((1 << suffix_lm.SHIFT) - 1)
-        up = -1 if d == 0 else int(suffix_lm._find(m.arrays["codes"][d - 1], np.array([last]))[0])
-        below = logp(d - 1, up)
-        if not s["kept"][i]:
-            return below
-        at = suffix_lm._find(s["next"], (i << suffix_lm.SHIFT) + np.arange(len(words)))
-        return np.where(at >= 0, s["logp"][np.maximum(at, 0)], s["backoff"][i] + below)
-
-    unseen = 1 / (m.tokens + m.types + 1)
-    for d, i in kept[:40]:
-        state, mass = m.arrays["states"][d], 1.0
-        for e, j in ((d, i),) if d == 0 else ((d, i), (d - 1, int(suffix_lm._find(m.arrays["codes"][d - 1], m.arrays["codes"][d][[i]] & ((1 << suffix_lm.SHIFT) - 1))[0]))):
-            if m.arrays["states"][e]["kept"][j]:
-                mass *= 10 ** m.arrays["states"][e]["backoff"][j]
-        assert (10 ** logp(d, i)).sum() + unseen * mass == pytest.approx(1, abs=1e-6)
-        assert state["kept"][i]
-
-
 # pipeline --------------------------------------------------------------------------------------------------------
 
 
