@@ -1,12 +1,12 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Symbols are lower-cased words and an end of text.  The root holds the counts of
-all words, however rare.  Deeper states follow the usual learner: a context that
-occurs ``min_context`` times is a candidate, its next symbols are those seen with it
-``min_next`` times, and it is retained when their distribution differs from that in
-its longest proper suffix by a likelihood-ratio (divergence) test.  A retained state
-discounts its next symbols; what it does not have backs off to its longest retained
-proper suffix.  Depths are added until one retains no state.  Both bounds are counts,
+all words, however rare.  Deeper states grow from it: a context that occurs
+``min_context`` times and whose longest proper suffix is a state is a candidate, its
+next symbols are those seen with it ``min_next`` times, and it is retained when their
+distribution differs from that in the suffix by a likelihood-ratio (divergence)
+test.  A retained state discounts its next symbols; what it does not have backs off
+to its suffix.  Depths are added until one retains no state.  Both bounds are counts,
 so the tree grows with the corpus; no table of it is gathered in one place.
 
 A run of L + 1 symbols has a hash made of those of its first and its last L symbols:
@@ -107,20 +107,27 @@ class Bitmap:
 
 
 def _runs(symbols: np.ndarray, places: np.ndarray, most: int):
-    """For each depth from 1 on: (at, context, lower, whole) of the runs of depth + 1 symbols; ``at`` is the last one's index."""
-    run = symbols
+    """For each depth from 1 on: (at, context, lower, whole, inner) of the runs of depth + 1 symbols.
+
+    ``at`` is the last symbol's index; inner is the run without its first two symbols.
+    """
+    run, inner = symbols, np.zeros_like(symbols)
     for depth in range(1, most + 1):
         at = np.flatnonzero(places >= depth)
         context, lower = run[at - 1], run[at]
         whole = mix(context, lower)
-        yield at, context, lower, whole
-        run = np.zeros_like(symbols)
+        yield at, context, lower, whole, inner[at]
+        inner, run = run, np.zeros_like(symbols)
         run[at] = whole
 
 
 def _count_runs(batches, depth: int, gates):
-    """Counts of (context, lower) whose context and lower run the tree's last depth may have."""
-    contexts, lowers = gates.value
+    """Counts of the runs (context, lower) that the depth needs.
+
+    As entries: the context is a candidate, and the lower run an entry of a state.
+    As contexts of the next depth: the lower run may become a state.
+    """
+    often, lowers, states = gates.value
     held: list = []
     n = 0
 
@@ -134,9 +141,10 @@ def _count_runs(batches, depth: int, gates):
         return pa.RecordBatch.from_arrays(arrays, ["c", "lo", "n"])
 
     for batch in batches:
-        for _, context, lower, _ in list(_runs(*_flat(batch.column(0)), depth))[depth - 1 :]:
-            ok = contexts.has(context)
-            ok[ok] = lowers.has(lower[ok])
+        for _, context, lower, _, inner in list(_runs(*_flat(batch.column(0)), depth))[depth - 1 :]:
+            ok = often.has(context) & lowers.has(lower)
+            if states is not None:
+                ok |= often.has(lower) & states.has(inner)
             held.append((context[ok], lower[ok]))
             n += int(ok.sum())
         if n > FLUSH:
@@ -184,14 +192,16 @@ class SuffixTreeModel:
 def _depth(counted: DataFrame, below: DataFrame, min_context: int) -> tuple[DataFrame, DataFrame]:
     """(entries, states) of one depth, from counts (c, lo, n) and the table (h, n, plain, smooth) of the depth before.
 
-    ``plain`` is an entry's relative frequency in its context, ``smooth`` its probability by the tree so far.
+    ``plain`` is an entry's relative frequency in its context, ``smooth`` its
+    probability by the tree so far; both are null for what is only a context.
     """
     contexts = below.filter(F.col("n") >= min_context).select(F.col("h").alias("c"), F.col("n").alias("nc"))
-    lower = below.select(F.col("h").alias("lo"), F.col("plain").alias("below"), F.col("smooth").alias("low"))
-    entries = counted.join(contexts, "c").join(lower, "lo")
-    entries = entries.select("c", "lo", "n", "nc", "below", "low", (F.col("n") / F.col("nc")).alias("p"), ((F.col("n") - DISCOUNT) / F.col("nc")).alias("q"))
+    lower = below.filter("plain IS NOT NULL").select(F.col("h").alias("lo"), F.col("plain").alias("below"), F.col("smooth").alias("low"))
+    entries = counted.join(contexts, "c", "left").join(lower, "lo", "left")
+    role = F.col("nc").isNotNull() & F.col("low").isNotNull()
+    entries = entries.select("c", "lo", "n", "nc", "below", "low", F.when(role, F.col("n") / F.col("nc")).alias("p"), F.when(role, (F.col("n") - DISCOUNT) / F.col("nc")).alias("q"))
     left = lambda total: F.greatest(F.lit(1.0) - total, F.lit(TINY))
-    sums = entries.groupBy("c").agg(
+    sums = entries.filter("p IS NOT NULL").groupBy("c").agg(
         F.max("nc").alias("nc"), F.count("*").alias("k"), F.sum("p").alias("p"), F.sum(F.least("below", F.lit(1.0))).alias("below"),
         F.sum(F.col("p") * F.log(F.col("p") / F.col("below"))).alias("kl"), F.sum("q").alias("q"), F.sum("low").alias("low"),
     )
@@ -210,14 +220,15 @@ def fit(symbols: DataFrame, ws: Workspace, min_context: int = MIN_CONTEXT, min_n
     end = F.lit(int(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64)))
     plain, smooth = F.col("n") / F.lit(float(max(tokens, 1))), (F.col("n") + 1) / F.lit(float(tokens + types + 1))
     table = words.filter(F.col("n") >= min_next).select("h", "n", plain.alias("plain"), smooth.alias("smooth"))
-    values, depth = [spark.createDataFrame([], "h long, n long, v double")], 0
+    values, depth, states = [spark.createDataFrame([], "h long, n long, v double")], 0, None
     for d in count(1):
         candidates = table.filter(F.col("n") >= min_context)
         if d == 1:
             candidates = candidates.filter(F.col("h") != end)
         if (max_depth is not None and d > max_depth) or not candidates.limit(1).count():
             break
-        gates = spark.sparkContext.broadcast((Bitmap(candidates, "h"), Bitmap(table, "h")))
+        gates = (Bitmap(candidates, "h"), Bitmap(table.filter("plain IS NOT NULL"), "h"), states and Bitmap(states, "c"))
+        gates = spark.sparkContext.broadcast(gates)
         found = symbols.mapInArrow(partial(_count_runs, depth=d, gates=gates), "c long, lo long, n long").groupBy("c", "lo").agg(F.sum("n").alias("n"))
         found = ws.save(found.filter(F.col("n") >= min_next), f"counts{d}")
         gates.unpersist()
@@ -230,9 +241,10 @@ def fit(symbols: DataFrame, ws: Workspace, min_context: int = MIN_CONTEXT, min_n
         depth = d
         joined = entries.join(states.select("c", "backoff"), "c", "left")
         key = F.col("c").bitwiseXOR(F.lit(int(CONTEXT)))
-        own = joined.filter("backoff IS NOT NULL").select("h", "n", (F.log10("q") - F.col("backoff") - F.log10("low")).alias("v"))
+        joined = joined.withColumn("own", F.col("backoff").isNotNull() & F.col("q").isNotNull())
+        own = joined.filter("own").select("h", "n", (F.log10("q") - F.col("backoff") - F.log10("low")).alias("v"))
         values += [ws.save(states.select(key.alias("h"), F.col("nc").alias("n"), F.col("backoff").alias("v")).union(own), f"values{d}")]
-        table = joined.select("h", "n", F.col("p").alias("plain"), F.when(F.col("backoff").isNull(), F.col("low")).otherwise(F.col("q")).alias("smooth"))
+        table = joined.select("h", "n", F.when(F.col("own"), F.col("p")).alias("plain"), F.when(F.col("own"), F.col("q")).alias("smooth"))
         table = ws.save(table, f"table{d}")
     every = values[0]
     for one in values[1:]:
@@ -250,7 +262,7 @@ def _score(batches, model):
         base = np.where(known, m["root"][np.maximum(at, 0)] if len(m["root"]) else 0.0, 0.0)
         added = np.zeros(len(symbols))
         rare = [(np.flatnonzero(~known), symbols[~known], True)]
-        for ends, context, _, whole in _runs(symbols, places, m["depth"]):
+        for ends, context, _, whole, _ in _runs(symbols, places, m["depth"]):
             for hashes in (context ^ np.uint64(CONTEXT), whole):
                 at = _find(m["keys"], hashes)
                 sent = at >= 0

@@ -176,7 +176,7 @@ def suffix_tree(rows, min_context, min_next, discount=0.5):
             total[run[:-1]] += c
         kept = {}
         for context in [c for c, k in total.items() if k >= min_context]:
-            if depth > 1 and context[1:] not in plain:
+            if depth > 1 and context[1:] not in states:
                 continue
             nc = total[context]
             near = {run[-1]: c for run, c in counts.items() if run[:-1] == context and c >= min_next}
