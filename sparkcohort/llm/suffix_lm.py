@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from sparkcohort.llm.common import Workspace, text_bytes, text_slices
 
 END = b""
-MIN_CONTEXT, MIN_NEXT = 64, 4
+MIN_CONTEXT, MIN_NEXT = 256, 8
+#: Twice the log-likelihood that a state must gain, besides log(n) for each next symbol: a chance of about 1 in 10,000 without cause.
+GAIN = 10.0
 HEAVY_SHARE, DISCOUNT = 4e-6, 0.5
 BITMAP_BITS = 25
 FLUSH = 3_000_000
@@ -206,7 +208,7 @@ def _depth(counted: DataFrame, below: DataFrame, min_context: int) -> tuple[Data
         F.sum(F.col("p") * F.log(F.col("p") / F.col("below"))).alias("kl"), F.sum("q").alias("q"), F.sum("low").alias("low"),
     )
     kl = F.col("kl") + left(F.col("p")) * F.log(left(F.col("p")) / left(F.col("below")))
-    states = sums.filter(2 * F.col("nc") * kl > F.col("k") + 4 * F.sqrt(2 * F.col("k")))
+    states = sums.filter(2 * F.col("nc") * kl > F.col("k") * F.log("nc") + GAIN)
     return entries, states.select("c", "nc", F.log10(left(F.col("q")) / left(F.col("low"))).alias("backoff"))
 
 
@@ -239,13 +241,13 @@ def fit(symbols: DataFrame, ws: Workspace, min_context: int = MIN_CONTEXT, min_n
         if not states.limit(1).count():
             break
         depth = d
-        joined = entries.join(states.select("c", "backoff"), "c", "left")
-        key = F.col("c").bitwiseXOR(F.lit(int(CONTEXT)))
-        joined = joined.withColumn("own", F.col("backoff").isNotNull() & F.col("q").isNotNull())
-        own = joined.filter("own").select("h", "n", (F.log10("q") - F.col("backoff") - F.log10("low")).alias("v"))
-        values += [ws.save(states.select(key.alias("h"), F.col("nc").alias("n"), F.col("backoff").alias("v")).union(own), f"values{d}")]
-        table = joined.select("h", "n", F.when(F.col("own"), F.col("p")).alias("plain"), F.when(F.col("own"), F.col("q")).alias("smooth"))
+        joined = entries.join(states.select("c", "backoff"), "c", "left").withColumn("own", F.col("backoff").isNotNull() & F.col("q").isNotNull())
+        mine = lambda value, name: F.when(F.col("own"), value).alias(name)
+        table = joined.select("h", "n", mine(F.col("p"), "plain"), mine(F.col("q"), "smooth"), mine(F.log10("q") - F.col("backoff") - F.log10("low"), "v"))
         table = ws.save(table, f"table{d}")
+        ws.drop(f"counts{d}", f"entries{d}")
+        key = F.col("c").bitwiseXOR(F.lit(int(CONTEXT)))
+        values += [states.select(key.alias("h"), F.col("nc").alias("n"), F.col("backoff").alias("v")), table.filter("v IS NOT NULL").select("h", "n", "v")]
     every = values[0]
     for one in values[1:]:
         every = every.union(one)

@@ -187,7 +187,7 @@ def suffix_tree(rows, min_context, min_next, discount=0.5):
             share, other = sum(near.values()) / nc, min(1.0, sum(below[w] for w in near))
             rest, rest_below = max(1 - share, 1e-12), max(1 - other, 1e-12)
             kl = sum(c / nc * math.log(c / nc / below[w]) for w, c in near.items()) + rest * math.log(rest / rest_below)
-            if 2 * nc * kl > len(near) + 4 * math.sqrt(2 * len(near)):
+            if 2 * nc * kl > len(near) * math.log(nc) + 10:
                 q = {w: (c - discount) / nc for w, c in near.items()}
                 kept[context] = (q, max(1 - sum(q.values()), 1e-12) / max(1 - sum(p(context[1:], w) for w in near), 1e-12))
         if not kept:
