@@ -40,7 +40,7 @@ MIN_CONTEXT, MIN_NEXT = 256, 8
 #: Twice the log-likelihood that a state must gain, besides log(n) for each next symbol: a chance of about 1 in 10,000 without cause.
 GAIN = 10.0
 HEAVY_SHARE, DISCOUNT = 4e-6, 0.5
-BITMAP_BITS = 25
+BITMAP_BITS, SHIFTS = 25, (39, 14)
 FLUSH = 3_000_000
 #: Tells a context's key from that of the entry with the same symbols.
 CONTEXT = 0x5851F42D4C957F2D
@@ -94,19 +94,26 @@ def _count_symbols(batches):
 
 
 class Bitmap:
-    """A set of hashes by their leading bits: never misses one it has, and has a fixed size."""
+    """A set of hashes by two stretches of their bits: never misses one it has, and has a fixed size."""
 
     def __init__(self, hashes: DataFrame, name: str):
-        place = F.shiftrightunsigned(F.col(name), 64 - BITMAP_BITS)
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-        words = hashes.select(F.shiftrightunsigned(place, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        top = (1 << BITMAP_BITS) - 1
+        places = [F.shiftrightunsigned(F.col(name), shift).bitwiseAND(F.lit(top)) for shift in SHIFTS]
+        each = hashes.select(F.explode(F.array(*places)).alias("at"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+        words = each.select(F.shiftrightunsigned("at", 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         self.bits = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
         self.bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes >> np.uint64(64 - BITMAP_BITS)
+    def _hit(self, hashes: np.ndarray, shift: int) -> np.ndarray:
+        place = (hashes >> np.uint64(shift)) & np.uint64((1 << BITMAP_BITS) - 1)
         return (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = self._hit(hashes, SHIFTS[0])
+        out[out] = self._hit(hashes[out], SHIFTS[1])
+        return out
+
 
 def _runs(symbols: np.ndarray, places: np.ndarray, most: int):
     """For each depth from 1 on: (at, context, lower, whole, inner) of the runs of depth + 1 symbols.
@@ -254,6 +261,19 @@ def fit(symbols: DataFrame, ws: Workspace, min_context: int = MIN_CONTEXT, min_n
     return SuffixTreeModel(words, every, depth, tokens, int(types), heavy_share)
 
 
+def _look_up(m: dict, ends: np.ndarray, hashes: np.ndarray, added: np.ndarray, rare: list) -> np.ndarray:
+    """Which hashes the tree has or may have; adds the value of those at hand, and puts down the others that it may have."""
+    at = _find(m["keys"], hashes)
+    sent = at >= 0
+    if len(m["keys"]):
+        added[ends] += np.where(sent, m["values"][np.maximum(at, 0)], 0.0)
+    other = np.flatnonzero(~sent)
+    other = other[m["rest"].has(hashes[other])]
+    rare.append((ends[other], hashes[other], False))
+    sent[other] = True
+    return sent
+
+
 def _score(batches, model):
     m = model.value
     for batch in batches:
@@ -264,15 +284,15 @@ def _score(batches, model):
         base = np.where(known, m["root"][np.maximum(at, 0)] if len(m["root"]) else 0.0, 0.0)
         added = np.zeros(len(symbols))
         rare = [(np.flatnonzero(~known), symbols[~known], True)]
+        alive = np.ones(len(symbols), dtype=bool)
         for ends, context, _, whole, _ in _runs(symbols, places, m["depth"]):
-            for hashes in (context ^ np.uint64(CONTEXT), whole):
-                at = _find(m["keys"], hashes)
-                sent = at >= 0
-                if len(m["keys"]):
-                    added[ends] += np.where(sent, m["values"][np.maximum(at, 0)], 0.0)
-                other = np.flatnonzero(~sent)
-                other = other[m["rest"].has(hashes[other])]
-                rare.append((ends[other], hashes[other], False))
+            # a context is a state only if its suffix is one, and only states have entries
+            here = alive[ends]
+            ends, context, whole = ends[here], context[here] ^ np.uint64(CONTEXT), whole[here]
+            found = _look_up(m, ends, context, added, rare)
+            alive = np.zeros(len(symbols), dtype=bool)
+            alive[ends[found]] = True
+            _look_up(m, ends[found], whole[found], added, rare)
         where, hashes = np.concatenate([x[0] for x in rare]), np.concatenate([x[1] for x in rare])
         is_word = np.concatenate([np.full(len(x[0]), x[2]) for x in rare])
         text = np.searchsorted(starts, where, side="right") - 1
