@@ -4,7 +4,9 @@ Base spans come from four patterns.  Every matched value is a protected entity.
 The whole document around an entity is its context; the corpus gives the
 pointwise mutual information of entity and term over documents, and a term's
 disclosure is that over the entity's own information content (1: the term gives
-the entity away entirely).  Terms above the higher threshold are removed, those
+the entity away entirely).  The term must also point to the entity: a share of the
+documents that have it must have the entity, else a word that is merely not
+frequent would count, ever more words in a larger corpus.  Terms above the higher threshold are removed, those
 above the lower one generalised, wherever they occur.  A pair counts only with
 enough *different* texts, so copies of one text are not evidence.
 
@@ -37,6 +39,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
 MIN_CONTEXTS = 3
 REMOVE, GENERALISE = 0.8, 0.5
+#: A term reveals an entity only if this share of the documents with the term has the entity.
+LEAST_SHARE = 0.1
 SPAN = "struct<kind:string,s:int,e:int,v:string>"
 
 
@@ -139,6 +143,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, ws: Workspace, min_texts:
     n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
     n_docs = F.lit(float(base.count()))
     scored = pairs.join(n_term, "term").join(entities, "entity")
+    scored = scored.filter(F.col("n_both") >= LEAST_SHARE * F.col("n_term"))
     shared = F.log(n_docs * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     own = F.log(n_docs / F.col("n_entity"))
     scored = scored.withColumn("disclosure", F.when(own > 0, shared / own).otherwise(0.0)).filter(F.col("disclosure") >= GENERALISE)
