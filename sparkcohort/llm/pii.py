@@ -115,11 +115,11 @@ def _words(x: Column) -> Column:
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """(row, term, s, e) of every occurrence of every term in the texts x."""
+    """(row, term, s, e) of every occurrence of a row's ``terms`` in its text x."""
     x = F.col("x")
-    rows = rows.select("row", "x", _by_term(x, lambda pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))).alias("m"), _by_term(x, lambda pattern: F.split(x, pattern, -1)).alias("g"))
-    rows = rows.select("row", "m", "g", _steps("m", "g").alias("l")).select("row", "m", "g", carried(F.col("l")).alias("b"))
-    each = rows.select("row", F.explode(_placed("m", "g", "b")).alias("y"))
+    rows = rows.select("row", "x", "terms", _by_term(x, lambda pattern: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))).alias("m"), _by_term(x, lambda pattern: F.split(x, pattern, -1)).alias("g"))
+    rows = rows.select("row", "terms", "m", "g", _steps("m", "g").alias("l")).select("row", "terms", "m", "g", carried(F.col("l")).alias("b"))
+    each = rows.select("row", F.explode(F.filter(_placed("m", "g", "b"), lambda y: F.array_contains("terms", F.lower(y.v)))).alias("y"))
     return each.select("row", F.lower("y.v").alias("term"), F.col("y.s").alias("s"), (F.col("y.s") + F.length("y.v")).alias("e"))
 
 
@@ -148,8 +148,8 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, ws: Workspace, min_texts:
     own = F.log(n_docs / F.col("n_entity"))
     scored = scored.withColumn("disclosure", F.when(own > 0, shared / own).otherwise(0.0)).filter(F.col("disclosure") >= GENERALISE)
     kinds = ws.save(scored.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= REMOVE, "term").otherwise("class")).alias("kind")), "kinds")
-    marks = ws.save(words.join(sized(kinds), "term").select("row").distinct(), "marks")
-    found = _occurrences(docs.join(sized(marks), "row", "left_semi")).join(sized(kinds), "term")
+    marks = ws.save(words.join(sized(kinds), "term").groupBy("row").agg(F.collect_set("term").alias("terms")), "marks")
+    found = _occurrences(docs.join(sized(marks), "row")).join(sized(kinds), "term")
     return found.select("row", "kind", "s", "e")
 
 
