@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import partial
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,9 @@ MIN_CONTEXT, MIN_NEXT = 256, 8
 GAIN = 10.0
 HEAVY_SHARE, DISCOUNT = 4e-6, 0.5
 BITMAP_BITS, SHIFTS = 25, (39, 14)
-FLUSH = 3_000_000
+FLUSH = 1_000_000
+#: Symbols worked on at once; arrays over them are what a Python worker holds, whatever the size of an Arrow batch.
+SLICE = 250_000
 #: Tells a context's key from that of the entry with the same symbols.
 CONTEXT = 0x5851F42D4C957F2D
 TINY = 1e-12
@@ -76,6 +78,17 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return symbols, np.arange(len(symbols)) - np.repeat(edges[:-1] - edges[0], sizes)
 
 
+def _symbol_slices(batches, column: int):
+    """Parts of batches with about ``SLICE`` symbols in a column of lists, one row at least."""
+    for batch in batches:
+        edges = batch.column(column).offsets.to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            stop = max(int(np.searchsorted(edges, edges[start] + SLICE, side="right")) - 1, start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _count_symbols(batches):
     held, n = [], 0
 
@@ -83,7 +96,7 @@ def _count_symbols(batches):
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "n"])
 
-    for batch in batches:
+    for batch in _symbol_slices(batches, 0):
         held.append(_flat(batch.column(0))[0])
         n += len(held[-1])
         if n > FLUSH:
@@ -149,8 +162,8 @@ def _count_runs(batches, depth: int, gates):
         arrays = [pa.array(context[first].view(np.int64)), pa.array(lower[first].view(np.int64)), pa.array(counts.astype(np.int64))]
         return pa.RecordBatch.from_arrays(arrays, ["c", "lo", "n"])
 
-    for batch in batches:
-        for _, context, lower, _, inner in list(_runs(*_flat(batch.column(0)), depth))[depth - 1 :]:
+    for batch in _symbol_slices(batches, 0):
+        for _, context, lower, _, inner in islice(_runs(*_flat(batch.column(0)), depth), depth - 1, None):
             ok = often.has(context) & lowers.has(lower)
             if states is not None:
                 ok |= often.has(lower) & states.has(inner)
@@ -276,7 +289,7 @@ def _look_up(m: dict, ends: np.ndarray, hashes: np.ndarray, added: np.ndarray, r
 
 def _score(batches, model):
     m = model.value
-    for batch in batches:
+    for batch in _symbol_slices(batches, 1):
         symbols, places = _flat(batch.column(1))
         starts = np.flatnonzero(places == 0)
         at = _find(m["words"], symbols)

@@ -735,6 +735,24 @@ def test_lm_matches_its_plain_version(spark, heavy_share):
         assert total == pytest.approx(1, abs=1e-9), state
 
 
+def test_lm_slices(monkeypatch):
+    """Slices keep all rows in order, one long row or an empty one included, also of a batch that is itself a slice."""
+    import pyarrow as pa
+
+    from sparkcohort.llm import suffix_lm
+
+    monkeypatch.setattr(suffix_lm, "SLICE", 5)
+    lists = [[1], [], [2] * 40, [3, 4], [5], [6] * 3, [], [7] * 6]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64()))], ["symbols"])
+    for one, want in ((batch, lists), (batch.slice(3), lists[3:]), (batch.slice(0, 0), [])):
+        parts = list(suffix_lm._symbol_slices([one], 0))
+        assert [x for p in parts for x in p.column(0).to_pylist()] == want
+        assert all(p.num_rows == 1 or len(p.column(0).flatten()) <= 5 for p in parts)
+        flat = [suffix_lm._flat(p.column(0)) for p in parts]
+        assert [int(x) for a, _ in flat for x in a] == [x for xs in want for x in xs]
+        assert [int(x) for _, b in flat for x in b] == [i for xs in want for i in range(len(xs))]
+
+
 def test_lm_learns_contexts(spark):
     from sparkcohort.llm.suffix_lm import lm_scores
 
