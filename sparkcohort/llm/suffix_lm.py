@@ -39,7 +39,7 @@ END = b""
 MIN_CONTEXT, MIN_NEXT = 256, 8
 #: Twice the log-likelihood that a state must gain, besides log(n) for each next symbol: a chance of about 1 in 10,000 without cause.
 GAIN = 10.0
-HEAVY_SHARE, DISCOUNT = 4e-6, 0.5
+HEAVY_SHARE, DISCOUNT = 1e-6, 0.5
 BITMAP_BITS, SHIFTS = 25, (39, 14)
 FLUSH = 1_000_000
 #: Symbols worked on at once; arrays over them are what a Python worker holds, whatever the size of an Arrow batch.
