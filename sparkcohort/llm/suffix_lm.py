@@ -16,21 +16,27 @@ by hashes of the depth before, and joins are plain.
 The score of a text is a sum over its runs: of root probabilities, of the back-off
 of each retained context, and of what each entry is above its back-off.  Runs are
 looked up in three ways: those with over ``heavy_share`` of all symbols are few
-whatever the input (at most 1/``heavy_share`` a depth) and are sent out; a bitmap of
-fixed size tells most of what the tree does not have; the rest meets the tree's
-table in a join, a row for each text and run.
+whatever the input (at most 1/``heavy_share`` a depth) and are sent out; a bitmap
+tells most of what the tree does not have; the rest meets the tree's table in a
+join, a row for each text and run.
+
+What lies on disk is kept small: texts are stored as the ranks of the words that are
+sent out and the hashes of the others, runs are counted in rounds by their contexts'
+hashes, texts are scored in parts whose rows are deleted in between, and a step's
+shuffle files go when the step ends.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import partial
+import math
+from contextlib import contextmanager
+from functools import partial, reduce
 from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcohort.llm.common import Workspace, text_bytes, text_slices
@@ -40,13 +46,33 @@ MIN_CONTEXT, MIN_NEXT = 256, 8
 #: Twice the log-likelihood that a state must gain, besides log(n) for each next symbol: a chance of about 1 in 10,000 without cause.
 GAIN = 10.0
 HEAVY_SHARE, DISCOUNT = 1e-6, 0.5
-BITMAP_BITS, SHIFTS = 25, (39, 14)
+#: A bitmap has 2 to the power of one of these bits, 16 or more an element as far as that goes.
+BITMAP_BITS, SHIFTS = (16, 28), (36, 8)
 FLUSH = 1_000_000
 #: Symbols worked on at once; arrays over them are what a Python worker holds, whatever the size of an Arrow batch.
 SLICE = 250_000
 #: Tells a context's key from that of the entry with the same symbols.
 CONTEXT = 0x5851F42D4C957F2D
 TINY = 1e-12
+#: Rounds in which runs are counted and parts in which texts are scored, at most: rows of one at a time are on disk.
+ROUNDS, PARTS = 4, 8
+#: Files that a part has at least, as each is a task.
+PART_FILES = 4
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Each query that ends meanwhile deletes its shuffle files; else they stay until the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -56,23 +82,44 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _symbol_batches(batches):
-    """Hashes of the symbols of each text."""
+def _hashed(batches, column: int):
+    """Parts of batches, hashes of the symbols of all texts in a part (uint64), and where each text begins and the last ends."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        for part in text_slices(batch, 1):
+        for part in text_slices(batch, column):
             found, ends = [], [0]
-            for text in part.column(1).to_pylist():
+            for text in part.column(column).to_pylist():
                 found.extend(map(digest, text.lower().split()))  # bytes.lower() changes A-Z only
                 found.append(digest(END))
                 ends.append(len(found))
-            symbols = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), symbols)], ["row", "symbols"])
+            yield part, np.array(found, dtype=np.uint64), np.array(ends)
+
+
+def _encode(batches, coded):
+    """Each text's symbols as codes, ranks of the words sent out or -1, and the hashes of the others in their order."""
+    known, rank, _ = coded.value
+    for part, symbols, ends in _hashed(batches, 1):
+        at = _find(known, symbols)
+        other = at < 0
+        codes = np.where(other, -1, rank[np.maximum(at, 0)] if len(rank) else -1).astype(np.int32)
+        others = np.concatenate(([0], np.cumsum(other)))[ends]
+        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(codes)), pa.ListArray.from_arrays(pa.array(others.astype(np.int32)), pa.array(symbols[other].view(np.int64)))]
+        yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["row", "codes", "others"])
+
+
+def _decode(codes: pa.ListArray, others: pa.ListArray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols of some texts (uint64), the place of each in its text, and its code."""
+    _, places = _flat(codes)
+    at = codes.flatten().to_numpy(zero_copy_only=False)
+    symbols, sent = np.empty(len(at), dtype=np.uint64), at >= 0
+    symbols[sent] = hashes[at[sent]]
+    symbols[~sent] = others.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return symbols, places, at
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """All symbols of some texts (uint64), and the place of each in its text."""
-    symbols = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    symbols = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
     edges = column.offsets.to_numpy()
     sizes = np.diff(edges)
     return symbols, np.arange(len(symbols)) - np.repeat(edges[:-1] - edges[0], sizes)
@@ -96,9 +143,9 @@ def _count_symbols(batches):
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "n"])
 
-    for batch in _symbol_slices(batches, 0):
-        held.append(_flat(batch.column(0))[0])
-        n += len(held[-1])
+    for _, symbols, _ in _hashed(batches, 0):
+        held.append(symbols)
+        n += len(symbols)
         if n > FLUSH:
             yield flush()
             held, n = [], 0
@@ -107,19 +154,21 @@ def _count_symbols(batches):
 
 
 class Bitmap:
-    """A set of hashes by two stretches of their bits: never misses one it has, and has a fixed size."""
+    """A set of hashes by two stretches of their bits: never misses one it has, and has a bounded size."""
 
     def __init__(self, hashes: DataFrame, name: str):
-        top = (1 << BITMAP_BITS) - 1
+        least, most = BITMAP_BITS
+        self.n_bits = min(max((16 * hashes.count()).bit_length(), least), most)
+        top = (1 << self.n_bits) - 1
         places = [F.shiftrightunsigned(F.col(name), shift).bitwiseAND(F.lit(top)) for shift in SHIFTS]
         each = hashes.select(F.explode(F.array(*places)).alias("at"))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
         words = each.select(F.shiftrightunsigned("at", 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        self.bits = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+        self.bits = np.zeros(1 << (self.n_bits - 6), dtype=np.uint64)
         self.bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
 
     def _hit(self, hashes: np.ndarray, shift: int) -> np.ndarray:
-        place = (hashes >> np.uint64(shift)) & np.uint64((1 << BITMAP_BITS) - 1)
+        place = (hashes >> np.uint64(shift)) & np.uint64((1 << self.n_bits) - 1)
         return (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
@@ -143,8 +192,8 @@ def _runs(symbols: np.ndarray, places: np.ndarray, most: int):
         run[at] = whole
 
 
-def _count_runs(batches, depth: int, gates):
-    """Counts of the runs (context, lower) that the depth needs.
+def _count_runs(batches, depth: int, gates, coded, rounds: int = 1, now: int = 0):
+    """Counts of the runs (context, lower) that the depth needs, of contexts that belong to a round.
 
     As entries: the context is a candidate, and the lower run an entry of a state.
     As contexts of the next depth: the lower run may become a state.
@@ -162,8 +211,12 @@ def _count_runs(batches, depth: int, gates):
         arrays = [pa.array(context[first].view(np.int64)), pa.array(lower[first].view(np.int64)), pa.array(counts.astype(np.int64))]
         return pa.RecordBatch.from_arrays(arrays, ["c", "lo", "n"])
 
+    hashes = coded.value[2]
     for batch in _symbol_slices(batches, 0):
-        for _, context, lower, _, inner in islice(_runs(*_flat(batch.column(0)), depth), depth - 1, None):
+        for _, context, lower, _, inner in islice(_runs(*_decode(*batch.columns, hashes)[:2], depth), depth - 1, None):
+            if rounds > 1:
+                here = (context >> np.uint64(32)) % np.uint64(rounds) == now
+                context, lower, inner = context[here], lower[here], inner[here]
             ok = often.has(context) & lowers.has(lower)
             if states is not None:
                 ok |= often.has(lower) & states.has(inner)
@@ -199,16 +252,33 @@ def _find(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == hashes, at, -1)
 
 
+class Words:
+    """The root's table of words, and what of it is sent out: the hashes of frequent words, and their ranks."""
+
+    def __init__(self, table: DataFrame, heavy_share: float):
+        tokens, types = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        self.table, self.tokens, self.types = table, int(tokens), int(types)
+        self.least = max(heavy_share * self.tokens, 1)
+        known, counts = _sorted(table.filter(F.col("n") >= self.least).select("h", "n"))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.root = np.log10((counts[order] + 1) / (self.tokens + self.types + 1))
+        self.coded = table.sparkSession.sparkContext.broadcast((known, rank, known[order]))
+
+
 class SuffixTreeModel:
-    """The root's table of words, the table of what contexts and entries add, and what is sent out of both."""
+    """The words, the table of what contexts and entries add, and what is sent out of both."""
+
+    def __init__(self, words: Words, values: DataFrame, depth: int):
+        self.words, self.values, self.depth = words, values, depth
+        keys, added = _sorted(values.filter(F.col("n") >= words.least).select("h", "v"))
+        rest = Bitmap(values.filter(F.col("n") < words.least), "h")
+        self.sent = {"root": words.root, "keys": keys, "values": added, "rest": rest, "depth": depth}
+
 
-    def __init__(self, words: DataFrame, values: DataFrame, depth: int, tokens: int, types: int, heavy_share: float):
-        self.words, self.values, self.depth, self.tokens, self.types = words, values, depth, tokens, types
-        least = max(heavy_share * tokens, 1)
-        known, counts = _sorted(words.filter(F.col("n") >= least).select("h", "n"))
-        keys, added = _sorted(values.filter(F.col("n") >= least).select("h", "v"))
-        rest = Bitmap(values.filter(F.col("n") < least), "h")
-        self.sent = {"words": known, "root": np.log10((counts + 1) / (tokens + types + 1)), "keys": keys, "values": added, "rest": rest, "depth": depth}
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
 
 
 def _depth(counted: DataFrame, below: DataFrame, min_context: int) -> tuple[DataFrame, DataFrame]:
@@ -232,46 +302,46 @@ def _depth(counted: DataFrame, below: DataFrame, min_context: int) -> tuple[Data
     return entries, states.select("c", "nc", F.log10(left(F.col("q")) / left(F.col("low"))).alias("backoff"))
 
 
-def fit(symbols: DataFrame, ws: Workspace, min_context: int = MIN_CONTEXT, min_next: int = MIN_NEXT, heavy_share: float = HEAVY_SHARE, max_depth: int | None = None) -> SuffixTreeModel:
-    """Learn from ``symbols`` (one column of arrays of hashes); every text counts.  ``max_depth`` None: as deep as states are retained."""
-    spark = symbols.sparkSession
-    counted = symbols.mapInArrow(_count_symbols, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    words = ws.save(counted, "words")
-    tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tokens = int(tokens)
+def fit(symbols: DataFrame, words: Words, ws: Workspace, min_context: int = MIN_CONTEXT, min_next: int = MIN_NEXT, max_depth: int | None = None) -> SuffixTreeModel:
+    """Learn from ``symbols`` (codes, others); every text counts.  ``max_depth`` None: as deep as states are retained."""
+    spark, tokens, types = symbols.sparkSession, words.tokens, words.types
     end = F.lit(int(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64)))
     plain, smooth = F.col("n") / F.lit(float(max(tokens, 1))), (F.col("n") + 1) / F.lit(float(tokens + types + 1))
-    table = words.filter(F.col("n") >= min_next).select("h", "n", plain.alias("plain"), smooth.alias("smooth"))
+    table = words.table.filter(F.col("n") >= min_next).select("h", "n", plain.alias("plain"), smooth.alias("smooth"))
     values, depth, states = [spark.createDataFrame([], "h long, n long, v double")], 0, None
     for d in count(1):
         candidates = table.filter(F.col("n") >= min_context)
         if d == 1:
             candidates = candidates.filter(F.col("h") != end)
-        if (max_depth is not None and d > max_depth) or not candidates.limit(1).count():
+        occurrences = candidates.agg(F.sum("n")).first()[0]
+        if (max_depth is not None and d > max_depth) or not occurrences:
             break
+        # a run is counted as an entry of its context or as a context, so at most twice the candidates' occurrences are
+        rounds = min(ROUNDS, math.ceil(ROUNDS * 2 * occurrences / tokens))
         gates = (Bitmap(candidates, "h"), Bitmap(table.filter("plain IS NOT NULL"), "h"), states and Bitmap(states, "c"))
         gates = spark.sparkContext.broadcast(gates)
-        found = symbols.mapInArrow(partial(_count_runs, depth=d, gates=gates), "c long, lo long, n long").groupBy("c", "lo").agg(F.sum("n").alias("n"))
-        found = ws.save(found.filter(F.col("n") >= min_next), f"counts{d}")
-        gates.unpersist()
-        entries, states = _depth(found, table, min_context)
+        counts = []
+        for k in range(rounds):
+            found = symbols.mapInArrow(partial(_count_runs, depth=d, gates=gates, coded=words.coded, rounds=rounds, now=k), "c long, lo long, n long")
+            counts.append(ws.save(found.groupBy("c", "lo").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_next), f"counts{d}/{k}"))
+        gates.destroy()
+        entries, states = _depth(_union(counts), table, min_context)
         entries = entries.select("c", "lo", "n", "nc", "low", "p", "q")
         entries = ws.save(entries.mapInArrow(_hash_batches, "c long, lo long, n long, nc long, low double, p double, q double, h long"), f"entries{d}")
         states = ws.save(states, f"states{d}")
+        ws.drop(f"counts{d}")
         if not states.limit(1).count():
+            ws.drop(f"entries{d}")
             break
         depth = d
         joined = entries.join(states.select("c", "backoff"), "c", "left").withColumn("own", F.col("backoff").isNotNull() & F.col("q").isNotNull())
         mine = lambda value, name: F.when(F.col("own"), value).alias(name)
         table = joined.select("h", "n", mine(F.col("p"), "plain"), mine(F.col("q"), "smooth"), mine(F.log10("q") - F.col("backoff") - F.log10("low"), "v"))
         table = ws.save(table, f"table{d}")
-        ws.drop(f"counts{d}", f"entries{d}")
+        ws.drop(f"entries{d}")
         key = F.col("c").bitwiseXOR(F.lit(int(CONTEXT)))
         values += [states.select(key.alias("h"), F.col("nc").alias("n"), F.col("backoff").alias("v")), table.filter("v IS NOT NULL").select("h", "n", "v")]
-    every = values[0]
-    for one in values[1:]:
-        every = every.union(one)
-    return SuffixTreeModel(words, every, depth, tokens, int(types), heavy_share)
+    return SuffixTreeModel(words, _union(values), depth)
 
 
 def _look_up(m: dict, ends: np.ndarray, hashes: np.ndarray, added: np.ndarray, rare: list) -> np.ndarray:
@@ -287,12 +357,11 @@ def _look_up(m: dict, ends: np.ndarray, hashes: np.ndarray, added: np.ndarray, r
     return sent
 
 
-def _score(batches, model):
-    m = model.value
+def _score(batches, model, coded):
+    m, hashes_of = model.value, coded.value[2]
     for batch in _symbol_slices(batches, 1):
-        symbols, places = _flat(batch.column(1))
+        symbols, places, at = _decode(batch.column(1), batch.column(2), hashes_of)
         starts = np.flatnonzero(places == 0)
-        at = _find(m["words"], symbols)
         known = at >= 0
         base = np.where(known, m["root"][np.maximum(at, 0)] if len(m["root"]) else 0.0, 0.0)
         added = np.zeros(len(symbols))
@@ -325,17 +394,31 @@ ROW = "struct<i: long, doc_id: long, held_out: boolean>"
 
 
 def score(symbols: DataFrame, model: SuffixTreeModel, ws: Workspace) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for rows (row, symbols)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for rows (row, codes, others) of written files."""
     shared = symbols.sparkSession.sparkContext.broadcast(model.sent)
     kind = f"row {ROW}, n_tokens long, n_sent long, base double, added double, tail array<struct<h: long, tf: long, is_word: boolean>>"
-    made = ws.save(symbols.mapInArrow(partial(_score, model=shared), kind), "scored")
-    shared.unpersist()
+    parts = []
+    n_parts = max(1, min(PARTS, len(symbols.inputFiles()) // PART_FILES))
+    for k in range(n_parts):
+        # the number in a file's name tells its part, so that each is read once
+        number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+        part = symbols.filter(F.coalesce(number, F.lit(0)) % n_parts == k).select("row", "codes", "others")
+        made = ws.save(part.mapInArrow(partial(_score, model=shared, coded=model.words.coded), kind), f"scored{k}")
+        parts.append(ws.save(_with_rest(made, model), f"scores{k}"))
+        ws.drop(f"scored{k}")
+    shared.destroy()
+    return _union(parts)
+
+
+def _with_rest(made: DataFrame, model: SuffixTreeModel) -> DataFrame:
+    """Scores, after what was not sent out has met the tables."""
+    words = model.words
     tails = made.select(F.col("row.i").alias("i"), F.explode("tail").alias("x")).select("i", "x.*")
     none = F.lit(None)
-    table = model.words.select("h", F.lit(True).alias("is_word"), "n", none.cast("double").alias("v"))
-    table = table.union(model.values.select("h", F.lit(False), none.cast("long"), "v"))
+    table = words.table.filter(F.col("n") < words.least).select("h", F.lit(True).alias("is_word"), "n", none.cast("double").alias("v"))
+    table = table.union(model.values.filter(F.col("n") < words.least).select("h", F.lit(False), none.cast("long"), "v"))
     met = tails.join(table, ["h", "is_word"], "left")
-    unseen = float(model.tokens + model.types + 1)
+    unseen = float(words.tokens + words.types + 1)
     word: Column = F.when(F.col("is_word"), F.col("tf"))
     met = met.groupBy("i").agg(
         F.sum(word * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(unseen))).alias("rare"),
@@ -348,7 +431,7 @@ def score(symbols: DataFrame, model: SuffixTreeModel, ws: Workspace) -> DataFram
         "held_out",
         "n_tokens",
         (F.col("n_sent") + F.coalesce("met", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(words.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("rare")).alias("base_score"),
         (F.col("base") + zero("rare") + F.col("added") + zero("more")).alias("score"),
     )
@@ -367,6 +450,13 @@ def lm_scores(docs: DataFrame, min_context: int = MIN_CONTEXT, min_next: int = M
     ws = Workspace(docs.sparkSession, "suffix_lm")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
     row = F.struct(F.monotonically_increasing_id().alias("i"), F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"))
-    symbols = ws.save(docs.select(row.alias("row"), text_bytes(text_col).alias("t")).mapInArrow(_symbol_batches, f"row {ROW}, symbols array<long>"), "symbols")
-    model = fit(symbols.filter("NOT row.held_out").select("symbols"), ws, min_context, min_next, heavy_share, max_depth)
-    return score(symbols, model, ws)
+    texts = docs.select(row.alias("row"), text_bytes(text_col).alias("t"))
+    with _tidy(docs.sparkSession):
+        counted = texts.filter("NOT row.held_out").select("t").mapInArrow(_count_symbols, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        words = Words(ws.save(counted, "words"), heavy_share)
+        symbols = ws.save(texts.mapInArrow(partial(_encode, coded=words.coded), f"row {ROW}, codes array<int>, others array<long>"), "symbols")
+        model = fit(symbols.filter("NOT row.held_out").select("codes", "others"), words, ws, min_context, min_next, max_depth)
+        scores = score(symbols, model, ws)
+        words.coded.destroy()
+        ws.drop("symbols", "words", *(f"{name}{d}" for d in range(1, model.depth + 2) for name in ("table", "states")))
+    return scores

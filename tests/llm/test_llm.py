@@ -753,6 +753,43 @@ def test_lm_slices(monkeypatch):
         assert [int(x) for _, b in flat for x in b] == [i for xs in want for i in range(len(xs))]
 
 
+def test_lm_leaves_little_on_disk(spark, tmp_path, monkeypatch):
+    """Rounds and parts don't change a score; no text is stored as a hash a word; nothing but scores and no shuffle file is left."""
+    from pathlib import Path
+
+    from sparkcohort.llm import suffix_lm
+
+    r = random.Random(8)
+    often = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(r.choice(often) if r.random() < 0.95 else f"rare{r.randint(0, 900)}" for _ in range(200))) for i in range(400)]
+    want = brute.suffix_tree(rows, min_context=20, min_next=3)
+    made, stored = [], []
+    save, drop = suffix_lm.Workspace.save, suffix_lm.Workspace.drop
+
+    def size(path):
+        return sum(p.stat().st_size for p in Path(path.removeprefix("file://")).rglob("*.parquet"))
+
+    def saved(self, df, name):
+        out = save(self, df, name)
+        made.append((self, name))
+        if name == "symbols":
+            stored.append(size(self.path(name)))
+        return out
+
+    monkeypatch.setattr(suffix_lm.Workspace, "save", saved)
+    shuffles = lambda: {p for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for p in Path(d).rglob("shuffle_*")}
+    monkeypatch.setattr(suffix_lm, "PART_FILES", 1)
+    before = shuffles()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = suffix_lm.lm_scores(df, min_context=20, min_next=3, heavy_share=1e-3)
+    assert not shuffles() - before
+    same([(x.doc_id, x.n_tokens, x.score) for x in got.collect()], want["scores"], 6)
+    names = {name for _, name in made}
+    assert {"counts1/0", "counts1/3", "scores0", "scores4"} <= names
+    assert stored[0] < 4 * 201 * 400
+    assert {name for ws, name in made if size(ws.path(name))} == {f"scores{k}" for k in range(5)}
+
+
 def test_lm_learns_contexts(spark):
     from sparkcohort.llm.suffix_lm import lm_scores
 
