@@ -21,14 +21,16 @@ tells most of what the tree does not have; the rest meets the tree's table in a
 join, a row for each text and run.
 
 What lies on disk is kept small: texts are stored as the ranks of the words that are
-sent out and the hashes of the others, runs are counted in rounds by their contexts'
-hashes, texts are scored in parts whose rows are deleted in between, and a step's
-shuffle files go when the step ends.
+sent out, byte by byte, as the high bytes of most are alike, and the hashes of the
+others; runs are counted in rounds by their contexts' hashes; texts are scored in
+parts whose rows are deleted in between, and what they are joined with is dealt into
+buckets once, not shuffled for every part; a step's shuffle files go when it ends.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from contextlib import contextmanager
 from functools import partial, reduce
 from itertools import count, islice
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcohort.llm.common import Workspace, text_bytes, text_slices
+from sparkcohort.llm.common import Workspace, partitions, text_bytes, text_slices
 
 END = b""
 MIN_CONTEXT, MIN_NEXT = 256, 8
@@ -51,13 +53,15 @@ BITMAP_BITS, SHIFTS = (16, 28), (36, 8)
 FLUSH = 1_000_000
 #: Symbols worked on at once; arrays over them are what a Python worker holds, whatever the size of an Arrow batch.
 SLICE = 250_000
-#: Tells a context's key from that of the entry with the same symbols.
-CONTEXT = 0x5851F42D4C957F2D
+#: Tell a context's and a word's key from that of an entry with the same symbols.
+CONTEXT, WORD = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 TINY = 1e-12
 #: Rounds in which runs are counted and parts in which texts are scored, at most: rows of one at a time are on disk.
 ROUNDS, PARTS = 4, 8
 #: Files that a part has at least, as each is a task.
 PART_FILES = 4
+#: Columns of a text's codes: their lowest bytes, and so on.
+PLANES = ("b0", "b1", "b2", "b3")
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -96,39 +100,59 @@ def _hashed(batches, column: int):
 
 
 def _encode(batches, coded):
-    """Each text's symbols as codes, ranks of the words sent out or -1, and the hashes of the others in their order."""
+    """Each text's symbols as codes, 1 + the ranks of the words sent out or 0, a column a byte, and the hashes of the others in their order."""
     known, rank, _ = coded.value
     for part, symbols, ends in _hashed(batches, 1):
         at = _find(known, symbols)
         other = at < 0
-        codes = np.where(other, -1, rank[np.maximum(at, 0)] if len(rank) else -1).astype(np.int32)
+        codes = np.where(other, 0, rank[np.maximum(at, 0)] + 1 if len(rank) else 0).astype("<i4")
+        edges = pa.py_buffer(ends.astype(np.int32))
+        planes = [pa.Array.from_buffers(pa.binary(), part.num_rows, [None, edges, pa.py_buffer(codes.view(np.uint8)[k::4].tobytes())]) for k in range(4)]
         others = np.concatenate(([0], np.cumsum(other)))[ends]
-        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(codes)), pa.ListArray.from_arrays(pa.array(others.astype(np.int32)), pa.array(symbols[other].view(np.int64)))]
-        yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["row", "codes", "others"])
+        hashes = pa.ListArray.from_arrays(pa.array(others.astype(np.int32)), pa.array(symbols[other].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([part.column(0), *planes, hashes], ["row", *PLANES, "others"])
 
 
-def _decode(codes: pa.ListArray, others: pa.ListArray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols of some texts (uint64), the place of each in its text, and its code."""
-    _, places = _flat(codes)
-    at = codes.flatten().to_numpy(zero_copy_only=False)
+def _decode(planes: list[pa.BinaryArray], others: pa.ListArray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols of some texts (uint64), the place of each in its text, and its rank or -1."""
+    lowest, places = _flat(planes[0])
+    codes = np.empty((len(lowest), 4), dtype=np.uint8)
+    for k, plane in enumerate(planes):
+        codes[:, k] = _values(plane)
+    at = codes.view("<i4")[:, 0] - 1
     symbols, sent = np.empty(len(at), dtype=np.uint64), at >= 0
     symbols[sent] = hashes[at[sent]]
-    symbols[~sent] = others.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    symbols[~sent] = _values(others)
     return symbols, places, at
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """All symbols of some texts (uint64), and the place of each in its text."""
-    symbols = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
-    edges = column.offsets.to_numpy()
-    sizes = np.diff(edges)
-    return symbols, np.arange(len(symbols)) - np.repeat(edges[:-1] - edges[0], sizes)
+def _edges(column: pa.ListArray | pa.BinaryArray) -> np.ndarray:
+    """Where each row's symbols begin, and where the last's end."""
+    if isinstance(column, pa.ListArray):
+        return column.offsets.to_numpy()
+    if not len(column):
+        return np.zeros(1, dtype=np.int32)
+    return np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1, offset=4 * column.offset)
+
+
+def _values(column: pa.ListArray | pa.BinaryArray) -> np.ndarray:
+    """All symbols of a column: hashes (uint64) of lists, bytes of binaries."""
+    if isinstance(column, pa.ListArray):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+    edges = _edges(column)
+    return np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[edges[0] : edges[-1]]
+
+
+def _flat(column: pa.ListArray | pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of some texts, and the place of each in its text."""
+    symbols, edges = _values(column), _edges(column)
+    return symbols, np.arange(len(symbols)) - np.repeat(edges[:-1] - edges[0], np.diff(edges))
 
 
 def _symbol_slices(batches, column: int):
-    """Parts of batches with about ``SLICE`` symbols in a column of lists, one row at least."""
+    """Parts of batches with about ``SLICE`` symbols in a column, one row at least."""
     for batch in batches:
-        edges = batch.column(column).offsets.to_numpy()
+        edges = _edges(batch.column(column))
         start = 0
         while start < batch.num_rows:
             stop = max(int(np.searchsorted(edges, edges[start] + SLICE, side="right")) - 1, start + 1)
@@ -213,7 +237,7 @@ def _count_runs(batches, depth: int, gates, coded, rounds: int = 1, now: int = 0
 
     hashes = coded.value[2]
     for batch in _symbol_slices(batches, 0):
-        for _, context, lower, _, inner in islice(_runs(*_decode(*batch.columns, hashes)[:2], depth), depth - 1, None):
+        for _, context, lower, _, inner in islice(_runs(*_decode(batch.columns[:4], batch.column(4), hashes)[:2], depth), depth - 1, None):
             if rounds > 1:
                 here = (context >> np.uint64(32)) % np.uint64(rounds) == now
                 context, lower, inner = context[here], lower[here], inner[here]
@@ -258,6 +282,7 @@ class Words:
     def __init__(self, table: DataFrame, heavy_share: float):
         tokens, types = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         self.table, self.tokens, self.types = table, int(tokens), int(types)
+        self.unseen = float(self.tokens + self.types + 1)
         self.least = max(heavy_share * self.tokens, 1)
         known, counts = _sorted(table.filter(F.col("n") >= self.least).select("h", "n"))
         order = np.argsort(-counts, kind="stable")
@@ -281,8 +306,8 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, tables)
 
 
-def _depth(counted: DataFrame, below: DataFrame, min_context: int) -> tuple[DataFrame, DataFrame]:
-    """(entries, states) of one depth, from counts (c, lo, n) and the table (h, n, plain, smooth) of the depth before.
+def _entries(counted: DataFrame, below: DataFrame, min_context: int) -> DataFrame:
+    """The entries of one depth, from counts (c, lo, n) and the table (h, n, plain, smooth) of the depth before.
 
     ``plain`` is an entry's relative frequency in its context, ``smooth`` its
     probability by the tree so far; both are null for what is only a context.
@@ -291,7 +316,11 @@ def _depth(counted: DataFrame, below: DataFrame, min_context: int) -> tuple[Data
     lower = below.filter("plain IS NOT NULL").select(F.col("h").alias("lo"), F.col("plain").alias("below"), F.col("smooth").alias("low"))
     entries = counted.join(contexts, "c", "left").join(lower, "lo", "left")
     role = F.col("nc").isNotNull() & F.col("low").isNotNull()
-    entries = entries.select("c", "lo", "n", "nc", "below", "low", F.when(role, F.col("n") / F.col("nc")).alias("p"), F.when(role, (F.col("n") - DISCOUNT) / F.col("nc")).alias("q"))
+    return entries.select("c", "lo", "n", "nc", "below", "low", F.when(role, F.col("n") / F.col("nc")).alias("p"), F.when(role, (F.col("n") - DISCOUNT) / F.col("nc")).alias("q"))
+
+
+def _states(entries: DataFrame) -> DataFrame:
+    """Which contexts are retained, from the written entries of a depth."""
     left = lambda total: F.greatest(F.lit(1.0) - total, F.lit(TINY))
     sums = entries.filter("p IS NOT NULL").groupBy("c").agg(
         F.max("nc").alias("nc"), F.count("*").alias("k"), F.sum("p").alias("p"), F.sum(F.least("below", F.lit(1.0))).alias("below"),
@@ -299,11 +328,11 @@ def _depth(counted: DataFrame, below: DataFrame, min_context: int) -> tuple[Data
     )
     kl = F.col("kl") + left(F.col("p")) * F.log(left(F.col("p")) / left(F.col("below")))
     states = sums.filter(2 * F.col("nc") * kl > F.col("k") * F.log("nc") + GAIN)
-    return entries, states.select("c", "nc", F.log10(left(F.col("q")) / left(F.col("low"))).alias("backoff"))
+    return states.select("c", "nc", F.log10(left(F.col("q")) / left(F.col("low"))).alias("backoff"))
 
 
 def fit(symbols: DataFrame, words: Words, ws: Workspace, min_context: int = MIN_CONTEXT, min_next: int = MIN_NEXT, max_depth: int | None = None) -> SuffixTreeModel:
-    """Learn from ``symbols`` (codes, others); every text counts.  ``max_depth`` None: as deep as states are retained."""
+    """Learn from ``symbols`` (``PLANES``, others); every text counts.  ``max_depth`` None: as deep as states are retained."""
     spark, tokens, types = symbols.sparkSession, words.tokens, words.types
     end = F.lit(int(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64)))
     plain, smooth = F.col("n") / F.lit(float(max(tokens, 1))), (F.col("n") + 1) / F.lit(float(tokens + types + 1))
@@ -325,10 +354,9 @@ def fit(symbols: DataFrame, words: Words, ws: Workspace, min_context: int = MIN_
             found = symbols.mapInArrow(partial(_count_runs, depth=d, gates=gates, coded=words.coded, rounds=rounds, now=k), "c long, lo long, n long")
             counts.append(ws.save(found.groupBy("c", "lo").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_next), f"counts{d}/{k}"))
         gates.destroy()
-        entries, states = _depth(_union(counts), table, min_context)
-        entries = entries.select("c", "lo", "n", "nc", "low", "p", "q")
-        entries = ws.save(entries.mapInArrow(_hash_batches, "c long, lo long, n long, nc long, low double, p double, q double, h long"), f"entries{d}")
-        states = ws.save(states, f"states{d}")
+        entries = _entries(_union(counts), table, min_context)
+        entries = ws.save(entries.mapInArrow(_hash_batches, "c long, lo long, n long, nc long, below double, low double, p double, q double, h long"), f"entries{d}")
+        states = ws.save(_states(entries), f"states{d}")
         ws.drop(f"counts{d}")
         if not states.limit(1).count():
             ws.drop(f"entries{d}")
@@ -360,12 +388,12 @@ def _look_up(m: dict, ends: np.ndarray, hashes: np.ndarray, added: np.ndarray, r
 def _score(batches, model, coded):
     m, hashes_of = model.value, coded.value[2]
     for batch in _symbol_slices(batches, 1):
-        symbols, places, at = _decode(batch.column(1), batch.column(2), hashes_of)
+        symbols, places, at = _decode(batch.columns[1:5], batch.column(5), hashes_of)
         starts = np.flatnonzero(places == 0)
         known = at >= 0
         base = np.where(known, m["root"][np.maximum(at, 0)] if len(m["root"]) else 0.0, 0.0)
         added = np.zeros(len(symbols))
-        rare = [(np.flatnonzero(~known), symbols[~known], True)]
+        rare = [(np.flatnonzero(~known), symbols[~known] ^ np.uint64(WORD), True)]
         alive = np.ones(len(symbols), dtype=bool)
         for ends, context, _, whole, _ in _runs(symbols, places, m["depth"]):
             # a context is a state only if its suffix is one, and only states have entries
@@ -394,35 +422,49 @@ ROW = "struct<i: long, doc_id: long, held_out: boolean>"
 
 
 def score(symbols: DataFrame, model: SuffixTreeModel, ws: Workspace) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for rows (row, codes, others) of written files."""
-    shared = symbols.sparkSession.sparkContext.broadcast(model.sent)
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for rows (row, ``PLANES``, others) of written files."""
+    spark = symbols.sparkSession
+    shared = spark.sparkContext.broadcast(model.sent)
+    rest = _bucketed(_rest(model), ws)
     kind = f"row {ROW}, n_tokens long, n_sent long, base double, added double, tail array<struct<h: long, tf: long, is_word: boolean>>"
     parts = []
     n_parts = max(1, min(PARTS, len(symbols.inputFiles()) // PART_FILES))
     for k in range(n_parts):
         # the number in a file's name tells its part, so that each is read once
         number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
-        part = symbols.filter(F.coalesce(number, F.lit(0)) % n_parts == k).select("row", "codes", "others")
+        part = symbols.filter(F.coalesce(number, F.lit(0)) % n_parts == k).select("row", *PLANES, "others")
         made = ws.save(part.mapInArrow(partial(_score, model=shared, coded=model.words.coded), kind), f"scored{k}")
-        parts.append(ws.save(_with_rest(made, model), f"scores{k}"))
+        parts.append(ws.save(_with_rest(made, spark.table(rest), model.words), f"scores{k}"))
         ws.drop(f"scored{k}")
     shared.destroy()
+    spark.sql(f"DROP TABLE {rest}")
+    ws.drop("rest")
     return _union(parts)
 
 
-def _with_rest(made: DataFrame, model: SuffixTreeModel) -> DataFrame:
-    """Scores, after what was not sent out has met the tables."""
+def _rest(model: SuffixTreeModel) -> DataFrame:
+    """(h, v): what words, contexts and entries that were not sent out add, by their keys."""
     words = model.words
+    root = words.table.filter(F.col("n") < words.least).select(F.col("h").bitwiseXOR(F.lit(WORD)).alias("h"), F.log10((F.col("n") + 1) / F.lit(words.unseen)).alias("v"))
+    return root.union(model.values.filter(F.col("n") < words.least).select("h", "v"))
+
+
+def _bucketed(df: DataFrame, ws: Workspace) -> str:
+    """Name of a table of ``df`` in as many buckets of h as a shuffle has partitions, so that joins on h do not shuffle it."""
+    name, buckets = f"rest_{uuid.uuid4().hex}", partitions(ws.spark)
+    writer = df.repartition(buckets, "h").sortWithinPartitions("h").write.option("path", ws.path("rest")).option("compression", "zstd")
+    writer.bucketBy(buckets, "h").sortBy("h").saveAsTable(name)
+    return name
+
+
+def _with_rest(made: DataFrame, rest: DataFrame, words: Words) -> DataFrame:
+    """Scores, after what was not sent out has met its table."""
     tails = made.select(F.col("row.i").alias("i"), F.explode("tail").alias("x")).select("i", "x.*")
-    none = F.lit(None)
-    table = words.table.filter(F.col("n") < words.least).select("h", F.lit(True).alias("is_word"), "n", none.cast("double").alias("v"))
-    table = table.union(model.values.filter(F.col("n") < words.least).select("h", F.lit(False), none.cast("long"), "v"))
-    met = tails.join(table, ["h", "is_word"], "left")
-    unseen = float(words.tokens + words.types + 1)
+    met = tails.join(rest.hint("merge"), "h", "left")
     word: Column = F.when(F.col("is_word"), F.col("tf"))
     met = met.groupBy("i").agg(
-        F.sum(word * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(unseen))).alias("rare"),
-        F.sum(F.when(F.col("n") > 0, word).otherwise(0)).alias("met"),
+        F.sum(word * F.coalesce("v", F.lit(math.log10(1 / words.unseen)))).alias("rare"),
+        F.sum(F.when(F.col("v").isNotNull(), word).otherwise(0)).alias("met"),
         F.sum(F.when(~F.col("is_word"), F.col("tf") * F.coalesce("v", F.lit(0.0)))).alias("more"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -454,8 +496,8 @@ def lm_scores(docs: DataFrame, min_context: int = MIN_CONTEXT, min_next: int = M
     with _tidy(docs.sparkSession):
         counted = texts.filter("NOT row.held_out").select("t").mapInArrow(_count_symbols, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
         words = Words(ws.save(counted, "words"), heavy_share)
-        symbols = ws.save(texts.mapInArrow(partial(_encode, coded=words.coded), f"row {ROW}, codes array<int>, others array<long>"), "symbols")
-        model = fit(symbols.filter("NOT row.held_out").select("codes", "others"), words, ws, min_context, min_next, max_depth)
+        symbols = ws.save(texts.mapInArrow(partial(_encode, coded=words.coded), f"row {ROW}, {', '.join(f'{b} binary' for b in PLANES)}, others array<long>"), "symbols")
+        model = fit(symbols.filter("NOT row.held_out").select(*PLANES, "others"), words, ws, min_context, min_next, max_depth)
         scores = score(symbols, model, ws)
         words.coded.destroy()
         ws.drop("symbols", "words", *(f"{name}{d}" for d in range(1, model.depth + 2) for name in ("table", "states")))
