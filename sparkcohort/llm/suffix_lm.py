@@ -22,9 +22,11 @@ join, a row for each text and run.
 
 What lies on disk is kept small: texts are stored as the ranks of the words that are
 sent out, byte by byte, as the high bytes of most are alike, and the hashes of the
-others; runs are counted in rounds by their contexts' hashes; texts are scored in
-parts whose rows are deleted in between, and what they are joined with is dealt into
-buckets once, not shuffled for every part; a step's shuffle files go when it ends.
+others; runs are counted in rounds by their contexts' hashes, and shuffled as the
+ranks of their words, packed by buckets; texts are scored in parts whose rows are
+deleted in between, and what they are joined with is dealt into buckets once, not
+shuffled for every part: as few as a part needs, as a text has a row of sums for each;
+a step's shuffle files go when it ends.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from itertools import count, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcohort.llm.common import Workspace, partitions, text_bytes, text_slices
@@ -58,6 +60,8 @@ CONTEXT, WORD = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 TINY = 1e-12
 #: Rounds in which runs are counted and parts in which texts are scored, at most: rows of one at a time are on disk.
 ROUNDS, PARTS = 4, 8
+#: Buckets that counted runs are dealt into, at most: each is packed by itself, and summed up by one task.
+BUCKETS = 512
 #: Files that a part has at least, as each is a task.
 PART_FILES = 4
 #: Columns of a text's codes: their lowest bytes, and so on.
@@ -216,8 +220,35 @@ def _runs(symbols: np.ndarray, places: np.ndarray, most: int):
         run[at] = whole
 
 
-def _count_runs(batches, depth: int, gates, coded, rounds: int = 1, now: int = 0):
-    """Counts of the runs (context, lower) that the depth needs, of contexts that belong to a round.
+def _pack(codes: np.ndarray, counts: np.ndarray, others: np.ndarray) -> tuple[int, bytes]:
+    """Size and compressed bytes of distinct runs: codes a column a symbol, counts, and the hashes of the symbols without code."""
+    ints = np.ascontiguousarray(np.vstack([codes.T, counts[None]]), dtype="<i4")
+    ints[0, 1:] -= ints[0, :-1].copy()  # in order, so differences are small
+    planes = ints.view(np.uint8).reshape(len(ints), len(counts), 4).transpose(0, 2, 1)
+    raw = planes.tobytes() + others.tobytes()
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(n: int, size: int, blob: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_pack`` was given."""
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    edge = 4 * n * (depth + 2)
+    ints = raw[:edge].reshape(depth + 2, 4, n).transpose(0, 2, 1).copy().view("<i4")[:, :, 0]
+    ints[0] = np.cumsum(ints[0])
+    return ints[:-1].T, ints[-1], np.frombuffer(raw[edge:].tobytes(), dtype=np.uint64)
+
+
+def _added_up(context: np.ndarray, lower: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of different runs, and their counts (None: each once)."""
+    order = np.lexsort((lower, context))
+    c, lo = context[order], lower[order]
+    first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (lo[1:] != lo[:-1])))) if len(c) else np.zeros(0, dtype=np.int64)
+    total = np.diff(np.append(first, len(c))) if counts is None else np.add.reduceat(counts[order], first) if len(c) else counts[:0]
+    return order[first], total
+
+
+def _count_runs(batches, depth: int, gates, coded, buckets: int, rounds: int = 1, now: int = 0):
+    """Counts of the runs that the depth needs, of contexts that belong to a round, packed by buckets of the runs' hashes.
 
     As entries: the context is a candidate, and the lower run an entry of a state.
     As contexts of the next depth: the lower run may become a state.
@@ -227,25 +258,29 @@ def _count_runs(batches, depth: int, gates, coded, rounds: int = 1, now: int = 0
     n = 0
 
     def flush():
-        context, lower = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((lower, context))
-        context, lower = context[order], lower[order]
-        first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (lower[1:] != lower[:-1]))))
-        counts = np.diff(np.append(first, len(context)))
-        arrays = [pa.array(context[first].view(np.int64)), pa.array(lower[first].view(np.int64)), pa.array(counts.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(arrays, ["c", "lo", "n"])
+        context, lower, whole, codes, symbols = (np.concatenate(x) for x in zip(*held, strict=True))
+        at, counts = _added_up(context, lower, None)
+        bucket, codes, symbols = (whole[at] >> np.uint64(24)) % np.uint64(buckets), codes[at], symbols[at]
+        order = np.argsort((bucket << np.uint64(32)) | codes[:, 0].astype(np.uint64))
+        bucket, codes, symbols, counts = bucket[order].astype(np.int32), codes[order], symbols[order], counts[order]
+        edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        made = [_pack(codes[a:b], counts[a:b], symbols[a:b][codes[a:b] == 0]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        arrays = [pa.array(bucket[edges[:-1]]), pa.array(np.diff(edges).astype(np.int32)), pa.array([x for x, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["bucket", "runs", "size", "packed"])
 
     hashes = coded.value[2]
     for batch in _symbol_slices(batches, 0):
-        for _, context, lower, _, inner in islice(_runs(*_decode(batch.columns[:4], batch.column(4), hashes)[:2], depth), depth - 1, None):
+        symbols, places, rank = _decode(batch.columns[:4], batch.column(4), hashes)
+        for at, context, lower, whole, inner in islice(_runs(symbols, places, depth), depth - 1, None):
             if rounds > 1:
                 here = (context >> np.uint64(32)) % np.uint64(rounds) == now
-                context, lower, inner = context[here], lower[here], inner[here]
+                at, context, lower, whole, inner = (x[here] for x in (at, context, lower, whole, inner))
             ok = often.has(context) & lowers.has(lower)
             if states is not None:
                 ok |= often.has(lower) & states.has(inner)
-            held.append((context[ok], lower[ok]))
-            n += int(ok.sum())
+            own = at[ok][:, None] + np.arange(-depth, 1)
+            held.append((context[ok], lower[ok], whole[ok], rank[own].astype(np.int32) + 1, symbols[own]))
+            n += len(own)
         if n > FLUSH:
             yield flush()
             held, n = [], 0
@@ -253,6 +288,35 @@ def _count_runs(batches, depth: int, gates, coded, rounds: int = 1, now: int = 0
         yield flush()
 
 
+def _sum_runs(batches, depth: int, coded, min_next: int):
+    """(c, lo, n) of the runs in some buckets that occur ``min_next`` times."""
+    hashes, held, n = coded.value[2], [], 0
+
+    def summed():
+        context, lower, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        at, counts = _added_up(context, lower, counts)
+        return context[at], lower[at], counts
+
+    for batch in batches:
+        for runs, size, blob in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            codes, counts, others = _unpack(runs, size, blob, depth)
+            symbols, sent = np.empty(codes.shape, dtype=np.uint64), codes > 0
+            symbols[sent], symbols[~sent] = hashes[codes[sent] - 1], others
+            row = list(symbols.T)
+            while len(row) > 2:
+                row = [mix(a, b) for a, b in zip(row[:-1], row[1:], strict=True)]
+            held.append((row[0], row[1], counts.astype(np.int64)))
+            n += runs
+            if n > FLUSH:
+                held = [summed()]
+                n = 0
+    if held:
+        context, lower, counts = summed()
+        often = counts >= min_next
+        arrays = [pa.array(context[often].view(np.int64)), pa.array(lower[often].view(np.int64)), pa.array(counts[often])]
+        yield pa.RecordBatch.from_arrays(arrays, ["c", "lo", "n"])
+
+
 def _hash_batches(batches):
     """Adds h to rows that begin with c and lo."""
     for batch in batches:
@@ -334,6 +398,7 @@ def _states(entries: DataFrame) -> DataFrame:
 def fit(symbols: DataFrame, words: Words, ws: Workspace, min_context: int = MIN_CONTEXT, min_next: int = MIN_NEXT, max_depth: int | None = None) -> SuffixTreeModel:
     """Learn from ``symbols`` (``PLANES``, others); every text counts.  ``max_depth`` None: as deep as states are retained."""
     spark, tokens, types = symbols.sparkSession, words.tokens, words.types
+    buckets = min(partitions(spark), BUCKETS)
     end = F.lit(int(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64)))
     plain, smooth = F.col("n") / F.lit(float(max(tokens, 1))), (F.col("n") + 1) / F.lit(float(tokens + types + 1))
     table = words.table.filter(F.col("n") >= min_next).select("h", "n", plain.alias("plain"), smooth.alias("smooth"))
@@ -351,8 +416,9 @@ def fit(symbols: DataFrame, words: Words, ws: Workspace, min_context: int = MIN_
         gates = spark.sparkContext.broadcast(gates)
         counts = []
         for k in range(rounds):
-            found = symbols.mapInArrow(partial(_count_runs, depth=d, gates=gates, coded=words.coded, rounds=rounds, now=k), "c long, lo long, n long")
-            counts.append(ws.save(found.groupBy("c", "lo").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_next), f"counts{d}/{k}"))
+            found = symbols.mapInArrow(partial(_count_runs, depth=d, gates=gates, coded=words.coded, buckets=buckets, rounds=rounds, now=k), "bucket int, runs int, size int, packed binary")
+            found = found.repartitionById(buckets, F.col("bucket"))
+            counts.append(ws.save(found.mapInArrow(partial(_sum_runs, depth=d, coded=words.coded, min_next=min_next), "c long, lo long, n long"), f"counts{d}/{k}"))
         gates.destroy()
         entries = _entries(_union(counts), table, min_context)
         entries = ws.save(entries.mapInArrow(_hash_batches, "c long, lo long, n long, nc long, below double, low double, p double, q double, h long"), f"entries{d}")
@@ -380,7 +446,7 @@ def _look_up(m: dict, ends: np.ndarray, hashes: np.ndarray, added: np.ndarray, r
         added[ends] += np.where(sent, m["values"][np.maximum(at, 0)], 0.0)
     other = np.flatnonzero(~sent)
     other = other[m["rest"].has(hashes[other])]
-    rare.append((ends[other], hashes[other], False))
+    rare.append((ends[other], hashes[other]))
     sent[other] = True
     return sent
 
@@ -393,7 +459,7 @@ def _score(batches, model, coded):
         known = at >= 0
         base = np.where(known, m["root"][np.maximum(at, 0)] if len(m["root"]) else 0.0, 0.0)
         added = np.zeros(len(symbols))
-        rare = [(np.flatnonzero(~known), symbols[~known] ^ np.uint64(WORD), True)]
+        rare = [(np.flatnonzero(~known), symbols[~known] ^ np.uint64(WORD))]
         alive = np.ones(len(symbols), dtype=bool)
         for ends, context, _, whole, _ in _runs(symbols, places, m["depth"]):
             # a context is a state only if its suffix is one, and only states have entries
@@ -404,17 +470,13 @@ def _score(batches, model, coded):
             alive[ends[found]] = True
             _look_up(m, ends[found], whole[found], added, rare)
         where, hashes = np.concatenate([x[0] for x in rare]), np.concatenate([x[1] for x in rare])
-        is_word = np.concatenate([np.full(len(x[0]), x[2]) for x in rare])
         text = np.searchsorted(starts, where, side="right") - 1
-        order = np.lexsort((hashes, is_word, text))
-        text, hashes, is_word = text[order], hashes[order], is_word[order]
-        new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]) | (is_word[1:] != is_word[:-1])))) if len(text) else np.zeros(0, dtype=np.int64)
-        times = np.diff(np.append(new, len(text)))
-        edges = np.searchsorted(text[new], np.arange(len(starts) + 1))
-        tails = pa.StructArray.from_arrays([pa.array(hashes[new].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(is_word[new])], ["h", "tf", "is_word"])
+        order = np.lexsort((hashes, text))
+        edges = np.searchsorted(text[order], np.arange(len(starts) + 1))
+        tails = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(hashes[order].view(np.int64)))
         sums = lambda x: pa.array(np.add.reduceat(x, starts) if len(starts) else x[:0])
         sizes = np.diff(np.append(starts, len(symbols)))
-        arrays = [batch.column(0), pa.array(sizes.astype(np.int64)), sums(known.astype(np.int64)), sums(base), sums(added), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), tails)]
+        arrays = [batch.column(0), pa.array(sizes.astype(np.int64)), sums(known.astype(np.int64)), sums(base), sums(added), tails]
         yield pa.RecordBatch.from_arrays(arrays, ["row", "n_tokens", "n_sent", "base", "added", "tail"])
 
 
@@ -425,10 +487,10 @@ def score(symbols: DataFrame, model: SuffixTreeModel, ws: Workspace) -> DataFram
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for rows (row, ``PLANES``, others) of written files."""
     spark = symbols.sparkSession
     shared = spark.sparkContext.broadcast(model.sent)
-    rest = _bucketed(_rest(model), ws)
-    kind = f"row {ROW}, n_tokens long, n_sent long, base double, added double, tail array<struct<h: long, tf: long, is_word: boolean>>"
+    kind = f"row {ROW}, n_tokens long, n_sent long, base double, added double, tail array<long>"
     parts = []
     n_parts = max(1, min(PARTS, len(symbols.inputFiles()) // PART_FILES))
+    rest = _bucketed(_rest(model), ws, math.ceil(partitions(spark) / n_parts))
     for k in range(n_parts):
         # the number in a file's name tells its part, so that each is read once
         number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
@@ -443,15 +505,15 @@ def score(symbols: DataFrame, model: SuffixTreeModel, ws: Workspace) -> DataFram
 
 
 def _rest(model: SuffixTreeModel) -> DataFrame:
-    """(h, v): what words, contexts and entries that were not sent out add, by their keys."""
+    """(h, v, is_word): what contexts and entries that were not sent out add, and words beyond unseen ones, by their keys."""
     words = model.words
-    root = words.table.filter(F.col("n") < words.least).select(F.col("h").bitwiseXOR(F.lit(WORD)).alias("h"), F.log10((F.col("n") + 1) / F.lit(words.unseen)).alias("v"))
-    return root.union(model.values.filter(F.col("n") < words.least).select("h", "v"))
+    root = words.table.filter(F.col("n") < words.least).select(F.col("h").bitwiseXOR(F.lit(WORD)).alias("h"), F.log10(F.col("n") + 1).alias("v"), F.lit(True).alias("is_word"))
+    return root.union(model.values.filter(F.col("n") < words.least).select("h", "v", F.lit(False)))
 
 
-def _bucketed(df: DataFrame, ws: Workspace) -> str:
-    """Name of a table of ``df`` in as many buckets of h as a shuffle has partitions, so that joins on h do not shuffle it."""
-    name, buckets = f"rest_{uuid.uuid4().hex}", partitions(ws.spark)
+def _bucketed(df: DataFrame, ws: Workspace, buckets: int) -> str:
+    """Name of a table of ``df`` in buckets of h, so that joins on h do not shuffle it."""
+    name = f"rest_{uuid.uuid4().hex}"
     writer = df.repartition(buckets, "h").sortWithinPartitions("h").write.option("path", ws.path("rest")).option("compression", "zstd")
     writer.bucketBy(buckets, "h").sortBy("h").saveAsTable(name)
     return name
@@ -459,16 +521,15 @@ def _bucketed(df: DataFrame, ws: Workspace) -> str:
 
 def _with_rest(made: DataFrame, rest: DataFrame, words: Words) -> DataFrame:
     """Scores, after what was not sent out has met its table."""
-    tails = made.select(F.col("row.i").alias("i"), F.explode("tail").alias("x")).select("i", "x.*")
-    met = tails.join(rest.hint("merge"), "h", "left")
-    word: Column = F.when(F.col("is_word"), F.col("tf"))
-    met = met.groupBy("i").agg(
-        F.sum(word * F.coalesce("v", F.lit(math.log10(1 / words.unseen)))).alias("rare"),
-        F.sum(F.when(F.col("v").isNotNull(), word).otherwise(0)).alias("met"),
-        F.sum(F.when(~F.col("is_word"), F.col("tf") * F.coalesce("v", F.lit(0.0)))).alias("more"),
+    tails = made.select(F.col("row.i").alias("i"), F.explode("tail").alias("h"))
+    met = tails.join(rest.hint("merge"), "h").groupBy("i").agg(
+        F.sum(F.when(F.col("is_word"), F.col("v"))).alias("rare"),
+        F.count_if("is_word").alias("met"),
+        F.sum(F.when(~F.col("is_word"), F.col("v"))).alias("more"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return made.select("row.*", "n_tokens", "n_sent", "base", "added").join(met, "i", "left").select(
+    base = F.col("base") + (F.col("n_tokens") - F.col("n_sent")) * F.lit(math.log10(1 / words.unseen))
+    return made.select("row.*", "n_tokens", "n_sent", base.alias("base"), "added").join(met, "i", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

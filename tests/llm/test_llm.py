@@ -790,6 +790,52 @@ def test_lm_leaves_little_on_disk(spark, tmp_path, monkeypatch):
     assert {name for ws, name in made if size(ws.path(name))} == {f"scores{k}" for k in range(5)}
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_lm_packs_runs(monkeypatch, depth):
+    """Runs are counted exactly, in any rounds and flushes, rare words included, and take a few bytes each where they are shuffled."""
+    from collections import Counter
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sparkcohort.llm import suffix_lm
+
+    r = np.random.RandomState(3)
+    texts = [[f"w{int(x)}" if x < 2000 else f"rare{x}" for x in r.zipf(1.3, r.randint(0, 400)) % 2100] for _ in range(300)]
+    frequent = np.array([suffix_lm.xxhash.xxh3_64_intdigest(f"w{i}") for i in range(2000)], dtype=np.uint64)
+    by_hash = np.argsort(frequent)
+    coded = SimpleNamespace(value=(frequent[by_hash], by_hash.astype(np.int32), frequent))
+    everything = SimpleNamespace(has=lambda x: np.ones(len(x), dtype=bool))
+    gates = SimpleNamespace(value=(everything, everything, None))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([" ".join(w).encode() for w in texts])], ["row", "t"])
+    stored = [x.select(["b0", "b1", "b2", "b3", "others"]) for x in suffix_lm._encode([batch], coded)]
+
+    def key(run):
+        hashes = [np.array([suffix_lm.xxhash.xxh3_64_intdigest(w)], dtype=np.uint64) for w in run]
+        while len(hashes) > 2:
+            hashes = [suffix_lm.mix(a, b) for a, b in zip(hashes[:-1], hashes[1:], strict=True)]
+        return tuple(int(h.view(np.int64)[0]) for h in hashes)
+
+    runs = Counter(tuple(w[i : i + depth + 1]) for w in ([*x, ""] for x in texts) for i in range(len(w) - depth))
+    want = {key(run): n for run, n in runs.items() if n >= 2}
+    for flush, rounds in ((1_000_000, 1), (3000, 3)):
+        monkeypatch.setattr(suffix_lm, "FLUSH", flush)
+        monkeypatch.setattr(suffix_lm, "SLICE", 5000)
+        got = {}
+        for now in range(rounds):
+            packed = list(suffix_lm._count_runs(stored, depth, gates, coded, 4, rounds, now))
+            if flush > 3000:
+                assert sum(x.column(3).nbytes for x in packed) < 3.5 * (depth + 1) * len(runs)
+            for b in range(4):
+                mine = [x.filter(pa.compute.equal(x.column(0), b)) for x in packed]
+                for out in suffix_lm._sum_runs(mine, depth, coded, 2):
+                    for c, lo, n in zip(*(x.to_pylist() for x in out.columns), strict=True):
+                        assert (c, lo) not in got
+                        got[c, lo] = n
+        assert got == want
+
+
 def test_lm_learns_contexts(spark):
     from sparkcohort.llm.suffix_lm import lm_scores
 
