@@ -35,7 +35,7 @@ import math
 import uuid
 from contextlib import contextmanager
 from functools import partial, reduce
-from itertools import count, islice
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -205,19 +205,9 @@ class Bitmap:
         return out
 
 
-def _runs(symbols: np.ndarray, places: np.ndarray, most: int):
-    """For each depth from 1 on: (at, context, lower, whole, inner) of the runs of depth + 1 symbols.
-
-    ``at`` is the last symbol's index; inner is the run without its first two symbols.
-    """
-    run, inner = symbols, np.zeros_like(symbols)
-    for depth in range(1, most + 1):
-        at = np.flatnonzero(places >= depth)
-        context, lower = run[at - 1], run[at]
-        whole = mix(context, lower)
-        yield at, context, lower, whole, inner[at]
-        inner, run = run, np.zeros_like(symbols)
-        run[at] = whole
+def _longer(run: np.ndarray) -> np.ndarray:
+    """For each symbol the hash of the run that ends there, from those of the runs a symbol shorter; void where the text has no such run."""
+    return np.concatenate((run[:1], mix(run[:-1], run[1:])))
 
 
 def _pack(codes: np.ndarray, counts: np.ndarray, others: np.ndarray) -> tuple[int, bytes]:
@@ -258,9 +248,9 @@ def _count_runs(batches, depth: int, gates, coded, buckets: int, rounds: int = 1
     n = 0
 
     def flush():
-        context, lower, whole, codes, symbols = (np.concatenate(x) for x in zip(*held, strict=True))
+        context, lower, codes, symbols = (np.concatenate(x) for x in zip(*held, strict=True))
         at, counts = _added_up(context, lower, None)
-        bucket, codes, symbols = (whole[at] >> np.uint64(24)) % np.uint64(buckets), codes[at], symbols[at]
+        bucket, codes, symbols = (mix(context[at], lower[at]) >> np.uint64(24)) % np.uint64(buckets), codes[at], symbols[at]
         order = np.argsort((bucket << np.uint64(32)) | codes[:, 0].astype(np.uint64))
         bucket, codes, symbols, counts = bucket[order].astype(np.int32), codes[order], symbols[order], counts[order]
         edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
@@ -271,16 +261,21 @@ def _count_runs(batches, depth: int, gates, coded, buckets: int, rounds: int = 1
     hashes = coded.value[2]
     for batch in _symbol_slices(batches, 0):
         symbols, places, rank = _decode(batch.columns[:4], batch.column(4), hashes)
-        for at, context, lower, whole, inner in islice(_runs(symbols, places, depth), depth - 1, None):
-            if rounds > 1:
-                here = (context >> np.uint64(32)) % np.uint64(rounds) == now
-                at, context, lower, whole, inner = (x[here] for x in (at, context, lower, whole, inner))
-            ok = often.has(context) & lowers.has(lower)
-            if states is not None:
-                ok |= often.has(lower) & states.has(inner)
-            own = at[ok][:, None] + np.arange(-depth, 1)
-            held.append((context[ok], lower[ok], whole[ok], rank[own].astype(np.int32) + 1, symbols[own]))
-            n += len(own)
+        inner, run = symbols, symbols
+        for _ in range(depth - 1):
+            inner, run = run, _longer(run)
+        ends = places >= depth
+        if rounds > 1:
+            ends[1:] &= (run[:-1] >> np.uint64(32)).astype(np.uint32) % np.uint32(rounds) == now
+        at = np.flatnonzero(ends)
+        context, lower = run[at - 1], run[at]
+        ok = often.has(context) & lowers.has(lower)
+        if states is not None:
+            ok |= often.has(lower) & states.has(inner[at])
+        at, context, lower = at[ok], context[ok], lower[ok]
+        own = at[:, None] + np.arange(-depth, 1)
+        held.append((context, lower, rank[own].astype(np.int32) + 1, symbols[own]))
+        n += len(at)
         if n > FLUSH:
             yield flush()
             held, n = [], 0
@@ -410,8 +405,8 @@ def fit(symbols: DataFrame, words: Words, ws: Workspace, min_context: int = MIN_
         occurrences = candidates.agg(F.sum("n")).first()[0]
         if (max_depth is not None and d > max_depth) or not occurrences:
             break
-        # a run is counted as an entry of its context or as a context, so at most twice the candidates' occurrences are
-        rounds = min(ROUNDS, math.ceil(ROUNDS * 2 * occurrences / tokens))
+        # few runs are counted but those whose context is a candidate
+        rounds = min(ROUNDS, math.ceil(ROUNDS * occurrences / tokens))
         gates = (Bitmap(candidates, "h"), Bitmap(table.filter("plain IS NOT NULL"), "h"), states and Bitmap(states, "c"))
         gates = spark.sparkContext.broadcast(gates)
         counts = []
@@ -460,15 +455,13 @@ def _score(batches, model, coded):
         base = np.where(known, m["root"][np.maximum(at, 0)] if len(m["root"]) else 0.0, 0.0)
         added = np.zeros(len(symbols))
         rare = [(np.flatnonzero(~known), symbols[~known] ^ np.uint64(WORD))]
-        alive = np.ones(len(symbols), dtype=bool)
-        for ends, context, _, whole, _ in _runs(symbols, places, m["depth"]):
+        run, ends = symbols, np.arange(len(symbols))
+        for depth in range(1, m["depth"] + 1):
             # a context is a state only if its suffix is one, and only states have entries
-            here = alive[ends]
-            ends, context, whole = ends[here], context[here] ^ np.uint64(CONTEXT), whole[here]
-            found = _look_up(m, ends, context, added, rare)
-            alive = np.zeros(len(symbols), dtype=bool)
-            alive[ends[found]] = True
-            _look_up(m, ends[found], whole[found], added, rare)
+            ends = ends[places[ends] >= depth]
+            ends = ends[_look_up(m, ends, run[ends - 1] ^ np.uint64(CONTEXT), added, rare)]
+            run = _longer(run)
+            _look_up(m, ends, run[ends], added, rare)
         where, hashes = np.concatenate([x[0] for x in rare]), np.concatenate([x[1] for x in rare])
         text = np.searchsorted(starts, where, side="right") - 1
         order = np.lexsort((hashes, text))
